@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, language, mixing, neardup, ppm, quality, sharding, tokens
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_neardup": neardup.op2_neardup,
+    "op3_tokens": tokens.op3_tokens,
     "op4_sharding": sharding.op4_sharding,
+    "op6_language": language.op6_language,
     "op7_mixing": mixing.op7_mixing,
     "op9_quality": quality.op9_quality,
+    "op10_ppm": ppm.op10_ppm,
 }
 SQL = {"op1_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
