@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, neardup, ppm, quality, sharding, tokens
+from . import decontaminate, language, licenses, mixing, neardup, ppm, quality, repeats, sharding, tokens
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_neardup": neardup.op2_neardup,
     "op3_tokens": tokens.op3_tokens,
     "op4_sharding": sharding.op4_sharding,
+    "op5_repeats": repeats.op5_repeats,
     "op6_language": language.op6_language,
     "op7_mixing": mixing.op7_mixing,
+    "op8_licenses": licenses.op8_licenses,
     "op9_quality": quality.op9_quality,
     "op10_ppm": ppm.op10_ppm,
 }
