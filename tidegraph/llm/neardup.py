@@ -215,5 +215,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest id (null ids last, then any one of equal rows), columns as they were."""
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("n", F.monotonically_increasing_id()))
+    own = F.col("row").getField(id_col)
+    keyed = rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), "n").alias("k"), F.col("row").getField(text_col).alias("text"))
+    kept = near_duplicates(keyed, threshold, "k", "text").filter("kept").select("id.n")
+    return rows.join(kept, "n", "left_semi").select("row.*")
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
