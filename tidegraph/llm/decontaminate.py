@@ -5,8 +5,8 @@ more gives each of its n-word windows; a shorter one, if not empty, is one windo
 the windows' longest words, hashes the token windows placed by those it finds, looks them up in the hash set, and verifies each hit
 word by word, so a hash collision can't count. All of it runs in generated code, without a lambda per word.
 
-The set is broadcast only while it has at most `max_broadcast` windows (about 250 bytes each); beyond that the same join runs as a
-sort-merge join on the hash.
+At most `max_broadcast` windows (about 250 bytes each) are broadcast at a time; a larger set is dealt into blocks by hash, and the
+documents are scanned once for each.
 
 Cases: a null or empty text has no words and no hits; null or repeated document ids are kept, row by row (rows aren't merged by id);
 null or empty items give no windows; repeated items count once by id; items without an id count as the id "null"; an empty
@@ -15,10 +15,12 @@ benchmark hits nothing; other columns, whatever their names, travel in one struc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, table, words_of, written
+from ._common import let, lower_ascii, table, words_of, written
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -41,29 +43,39 @@ def item_windows(bench: DataFrame, n: int = 13, id_col: str = "item_id", text_co
     )
 
 
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per document row: doc (a struct of all its columns), n_words, n_hit (words within a hit), items (sorted ids of the items hit) and spans (sorted first word, from 0, and length of each hit)."""
-    windows = written(item_windows(bench, n, bench_id, bench_text))
-    small = windows.count() <= max_broadcast
-    meet = lambda left, right, on: left.join(F.broadcast(right) if small else right.hint("merge"), on, "left")
+def _hits(base: DataFrame, windows: DataFrame, own_rows: bool) -> DataFrame:
+    """A row per hit (rid, span, w_items), and with own_rows one for each document (rid, doc, n_words). Only those of the latter carry the document."""
     # Only windows that hold some benchmark window's longest word, at its place there, can hit; so only they are hashed.
     longest = F.array_max(F.transform("w_words", lambda w, i: F.struct(F.char_length(w).alias("long"), w.alias("w"), i.alias("i"))))
     anchors = windows.select(longest.alias("a"), "w_len").groupBy(F.xxhash64("a.w").alias("a_hash")).agg(F.collect_set(F.struct(F.col("a.i").alias("off"), F.col("w_len").alias("len"))).alias("a_at"))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), norm_words(F.col(f"`{text_col}`")).alias("ws"), F.monotonically_increasing_id().alias("rid"))
     # One more element, empty and at place 0, stands for the document itself, so that one scan gives both the hits and every document.
-    rows = base.select("doc", "ws", "rid", F.posexplode(F.concat(F.array(F.lit("")), "ws")).alias("place", "word")).withColumn("k", F.xxhash64("word"))
+    rows = base.select("doc", "rid", norm_words(F.col("text")).alias("ws"))
+    rows = rows.select("doc", "ws", "rid", F.posexplode(F.concat(F.array(F.lit("")), "ws")).alias("place", "word")).withColumn("k", F.xxhash64("word"))
     own = F.col("place") == 0
-    rows = meet(rows, anchors, F.col("k") == F.col("a_hash")).filter(own | F.col("a_hash").isNotNull())
+    rows = rows.join(F.broadcast(anchors), F.col("k") == F.col("a_hash"), "left").filter((own if own_rows else F.lit(False)) | (~own & F.col("a_hash").isNotNull()))
     rows = rows.select("doc", "ws", "rid", "place", F.explode(F.when(own, F.array(F.struct(F.lit(0).alias("off"), F.lit(0).alias("len")))).otherwise(F.col("a_at"))).alias("a"))
     rows = rows.select("doc", "ws", "rid", "place", (F.col("place") - 1 - F.col("a.off")).alias("at"), F.col("a.len").alias("len"))
     rows = rows.filter(own | ((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.size("ws"))))
     rows = rows.withColumn("h", F.when(~own, F.xxhash64(F.slice("ws", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")))))
     same = F.slice("ws", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("len")) == F.col("w_words")
-    found = meet(rows, windows, F.col("h") == F.col("w_hash")).filter(own | (F.col("w_hash").isNotNull() & same))
+    found = rows.join(F.broadcast(windows), F.col("h") == F.col("w_hash"), "left").filter(own | (F.col("w_hash").isNotNull() & same))
+    return found.select("rid", F.when(own, F.col("doc")).alias("doc"), F.when(own, F.size("ws")).alias("n_words"), F.when(~own, F.struct("at", "len")).alias("span"), F.when(~own, F.col("w_items")).alias("w_items"))
+
+
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", max_broadcast: int = MAX_BROADCAST, carry: Sequence[str] | None = None) -> DataFrame:
+    """One row per document row: doc (a struct of its columns, or of those in carry), n_words, n_hit (words within a hit), items (sorted ids of the items hit) and spans (sorted first word, from 0, and length of each hit)."""
+    windows = written(item_windows(bench, n, bench_id, bench_text))
+    blocks = max(1, -(-windows.count() // max_broadcast))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("doc"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    base = written(base) if blocks > 1 else base
+    found = None
+    for b in range(blocks):
+        part = _hits(base, windows if blocks == 1 else windows.filter(F.pmod("w_hash", F.lit(blocks)) == b), b == 0)
+        found = part if found is None else found.unionByName(part)
     merged = found.groupBy("rid").agg(
-        F.max_by("doc", F.when(own, F.lit(1))).alias("doc"),
-        F.max(F.when(own, F.size("ws"))).cast("bigint").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(~own, F.struct("at", "len")))).alias("spans"),
+        F.max_by("doc", F.when(F.col("n_words").isNotNull(), F.lit(1))).alias("doc"),
+        F.max("n_words").cast("bigint").alias("n_words"),
+        F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("w_items")))).alias("items"),
     )
     step = lambda acc, s: F.struct(F.greatest(acc["end"], s["at"] + s["len"]).alias("end"), (acc["hit"] + F.greatest(s["at"] + s["len"] - F.greatest(acc["end"], s["at"]), F.lit(0))).alias("hit"))
@@ -87,13 +99,16 @@ def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **op
     text = F.col("doc").getField(text_col)
     pieces = F.regexp_extract_all(text, F.lit(f"[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]*{WORD}"), F.lit(0))
     tail = F.regexp_extract(text, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*$", 0)
-    kept = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["len"])))
-    cut = F.when(F.col("n_hit") > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(text)
+    # Neighbouring hits become one stretch, and what is left are slices between stretches, so that cost doesn't grow with hits times words.
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    grow = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["at"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["at"] + s["len"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(s["at"].alias("a"), (s["at"] + s["len"]).alias("b")))))
+    left = lambda ps: let(F.aggregate("spans", empty, grow), lambda m: F.flatten(F.zip_with(F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["b"])), F.concat(F.transform(m, lambda x: x["a"]), F.array(F.size(ps))), lambda a, b: F.slice(ps, a + 1, b - a))))
+    cut = F.when(F.col("n_hit") > 0, F.concat(F.array_join(let(pieces, left), ""), tail)).otherwise(text)
     return found.select(F.col("doc").withField(f"`{text_col}`", cut).alias("doc")).select("doc.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
         F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
