@@ -55,10 +55,10 @@ def duck(sql, **views):
     return con.sql(sql).df()
 
 
-@pytest.mark.parametrize("query, sql", [(D.op1_decontaminate, D.SQL), (mixing.op7_mixing, mixing.SQL)])
+@pytest.mark.parametrize("query, sql", [(D.op1_decontaminate, D.SQL), (mixing.op7_mixing, mixing.SQL), (quality.op9_quality, quality.SQL)])
 def test_sql(spark, query, sql):
     got = query(spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
-    want = duck(sql, documents=f"{DATA}/documents.parquet", benchmark=f"{DATA}/benchmark.parquet").sort_values("doc_id").reset_index(drop=True)
+    want = duck(sql, documents=f"{DATA}/documents.parquet", benchmark=f"{DATA}/benchmark.parquet", labels=f"{DATA}/labels.parquet").sort_values("doc_id").reset_index(drop=True)
     assert got.astype(str).equals(want[list(got.columns)].astype(str))
 
 

@@ -146,3 +146,32 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql(alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> str:
+    cast = lambda rate: " / ".join(f"CAST({x} AS DOUBLE)" for x in rate.split(" / "))
+    rates = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, {cast(rate)} AS rate FROM f WHERE n_words > 0" for name, (rate, _) in rules.items())
+    cuts = ", ".join(f"('{name}', CAST({c} AS DOUBLE))" for name, (_, values) in rules.items() for c in values)
+    p = f"CAST({alpha / len(rules)!r} AS DOUBLE)"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
+f0 AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_bangs
+  FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f0),
+rates AS ({rates}),
+cuts(rule, cutoff) AS (VALUES {cuts}),
+held AS (SELECT doc_id, stratum, good FROM f JOIN (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+tests AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND rate > cutoff) AS k, count(*) FILTER (NOT good AND rate > cutoff) AS b FROM held JOIN rates USING (doc_id) JOIN cuts USING (rule) GROUP BY ALL),
+tails AS (SELECT *, count(*) OVER () AS made, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail FROM tests),
+best AS (SELECT stratum, rule, cutoff FROM tails WHERE tail <= {delta} / made AND b > 10 * k QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY b - 10 * k DESC, cutoff DESC) = 1),
+gone AS (SELECT DISTINCT f.doc_id FROM f JOIN best USING (stratum) JOIN rates ON rates.doc_id = f.doc_id AND rates.rule = best.rule WHERE rate > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL) AS kept FROM f
+"""
+
+
+SQL = _sql()

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_ppm": ppm.op10_ppm,
 }
-SQL = {"op1_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL}
+SQL = {"op1_decontaminate": decontaminate.SQL, "op7_mixing": mixing.SQL, "op9_quality": quality.SQL}
