@@ -67,9 +67,12 @@ def candidates(powers: DataFrame) -> DataFrame:
 
 
 def ranking(scores: DataFrame, by: str = "score") -> DataFrame:
-    """Place 1 for the highest score; ties to the larger id. Places are counted in ranges of scores, so no task sorts all."""
-    score = F.round(by, 10)
-    return scores.select("id", by, F.row_number().over(Window.orderBy(score.desc(), F.desc("id"))).alias("place"))
+    """Place 1 for the highest score; ties to the larger id. Places are counted within (score, range of ids), whose sizes are summed first, so no task sorts all."""
+    rows = scores.select("id", by, F.round(by, 10).alias("s"), F.expr("id div 65536").alias("b"))
+    sizes = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
+    first = sizes.select("s", "b", (F.sum("n").over(Window.orderBy(F.desc("s"), F.desc("b"))) - F.col("n")).alias("first"))
+    own = F.row_number().over(Window.partitionBy("s", "b").orderBy(F.desc("id")))
+    return rows.withColumn("own", own).join(first, ["s", "b"]).select("id", by, (F.col("first") + F.col("own")).alias("place"))
 
 
 def seeds(edges: DataFrame, powers: DataFrame, k: int = 3, mode: str = "min_rank") -> DataFrame:

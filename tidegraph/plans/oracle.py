@@ -85,7 +85,7 @@ SQL = {
     "followers_followees": _q("SELECT id, fin AS followers, fout AS followees FROM deg", DENSE, E, DEG),
     "psi": _q("SELECT src, dest, round(1.0::DOUBLE / fout, 8) AS psi FROM e JOIN deg ON src = id", *_base, DEG),
     "influence_score": _q("SELECT id, round(0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * CASE WHEN fout > 0 THEN 1 ELSE 0 END, 8) AS score FROM deg", *_base, DEG),
-    "influence_ranking": _q("SELECT CAST(row_number() OVER (ORDER BY round(s, 10) DESC, id DESC) AS INTEGER) AS place, id, round(s, 8) AS score FROM (SELECT id, 0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * CASE WHEN fout > 0 THEN 1 ELSE 0 END AS s FROM deg)", *_base, DEG),
+    "influence_ranking": _q("SELECT row_number() OVER (ORDER BY round(s, 10) DESC, id DESC) AS place, id, round(s, 8) AS score FROM (SELECT id, 0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * CASE WHEN fout > 0 THEN 1 ELSE 0 END AS s FROM deg)", *_base, DEG),
     "subgraph_extract": _q("SELECT part, src, dest, likes, shares, comments, occ FROM sub", TRADE, _sub(RW)),
     "ghost_nodes": _q("SELECT DISTINCT part, node FROM (SELECT part, src AS node FROM sub UNION SELECT part, dest FROM sub) WHERE node % 3 <> part", TRADE, _sub(RW)),
     "subgraph_stats": _q("SELECT s.part, n_edges, coalesce(n_ghosts, 0) AS n_ghosts FROM (SELECT part, count(*) AS n_edges FROM sub GROUP BY part) s LEFT JOIN (SELECT part, count(DISTINCT node) AS n_ghosts FROM (SELECT part, src AS node FROM sub UNION SELECT part, dest FROM sub) WHERE node % 3 <> part GROUP BY part) USING (part)", TRADE, _sub(RW)),
@@ -99,7 +99,7 @@ SQL = {
     "component_dag": _q("SELECT * FROM dag", *_comp),
     "dag_indegree": _q("SELECT * FROM ind", *_comp, INDEG),
     "component_levels": _q("SELECT * FROM lvl", *_comp, LEVEL),
-    "topo_levels": _q("SELECT scc, level, CAST(row_number() OVER (ORDER BY level, scc) AS INTEGER) AS pos FROM lvl", *_comp, LEVEL),
+    "topo_levels": _q("SELECT scc, level, row_number() OVER (ORDER BY level, scc) AS pos FROM lvl", *_comp, LEVEL),
     "component_report": _q("SELECT scc, count(*) AS size, CASE WHEN count(*) > 1 THEN 's' ELSE 'c' END AS type, any_value(level) AS level, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM comp JOIN lvl USING (scc) GROUP BY scc", *_comp, LEVEL),
     "component_summary": _q("SELECT count(*) AS components, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS scc_vertices, count(*) FILTER (n = 1) AS cac_vertices, count(*) FILTER (n > 1) AS scc_components, count(*) FILTER (n = 1) AS cac_components FROM (SELECT count(*) AS n FROM comp GROUP BY scc)", *_base, REACH, SCC),
     "cac": _q("SELECT * FROM k", *_comp, INDEG, CAC),
