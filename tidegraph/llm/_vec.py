@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n-1), modulo 2**64; kept, as it grows."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        out = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
+        out = np.full(max(n, 2 * len(held) if held is not None else 0, 1 << 19), base, dtype=np.uint64)
         out[0] = 1
         held = _powers[base] = np.multiply.accumulate(out)
     return held[:n]
