@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _vec as V
 from ._common import table, written
 
-LENGTH, K, BLOCK, HOT = 400, 24, 1_000_000, 1500
+LENGTH, K, BLOCK, HOT = 400, 128, 1_000_000, 1500
 
 
 class RunLengthIndex:
