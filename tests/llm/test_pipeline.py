@@ -44,3 +44,13 @@ def test_stages(spark):
     assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(pipeline.SHARDS)) <= 1
     again = pipeline.run(spark, DATA).collect()
     assert Counter(again) == Counter(after)
+
+
+def test_links_at_80(spark):
+    """Texts of similarity 0.80 to 0.85 are linked when asked for, and not at 85: the value a stage passes is what decides."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows, kept = docs.collect(), {}
+    for threshold in (80, 85):
+        kept[threshold] = {r.doc_id for r in pipeline.neardup.deduplicate(docs, threshold).collect()}
+        assert kept[threshold] == {x for x, _, c in brute_components([r.doc_id for r in rows], [r.text for r in rows], threshold) if x == c}
+    assert kept[80] < kept[85]
