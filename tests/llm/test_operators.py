@@ -354,6 +354,22 @@ def test_scoring(spark, docs, odd, none, texts):
     assert ppm.adaptive("abababababababab") > -16 * math.log10(256) / 2 and ppm.adaptive(None) == pytest.approx(-math.log10(256))
 
 
+def test_large_tries_keep_their_order(spark, docs, odd, monkeypatch):
+    """A trie too large to be held whole gives the same scores, of the same order, whatever the blocks."""
+    counts = ppm.train(docs)
+    rows = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    key = lambda df: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in df.collect())
+    want = key(ppm.score(rows, counts, ["doc_id"], max_held=10**9))
+    for block, part in ((20_000, 5_000), (ppm.BLOCK, ppm.PART)):
+        monkeypatch.setattr(ppm, "BLOCK", block)
+        monkeypatch.setattr(ppm, "PART", part)
+        got = key(ppm.score(rows, counts, ["doc_id"], max_held=10))
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:])
+    assert len(key(ppm.score(odd.limit(0), counts, ["doc_id"], max_held=10))) == 0
+
+
 def test_vectorised_words(docs):
     import pyarrow as pa
 

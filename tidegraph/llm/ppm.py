@@ -7,8 +7,10 @@ distinct), to the next shorter one, where symbols of the context left are exclud
 not yet seen are alike. As the training is over before the scoring, a context's sums under exclusion depend on it and its one
 longer context only and are worked out once, for all of the trie at a time.
 
-Counts come from all training texts: summed in each task, then by key. The trie goes to the workers only up to MAX_NODES entries; if
-that of ORDER is larger, the largest order down to 2 that fits is taken (order 2 has 2**24 entries at most, whatever the corpus).
+Counts come from all training texts: summed in each task, then by key. The order is the same at every size. A trie of up to MAX_NODES
+strings goes to the workers whole. A larger one stays distributed, and scores are the same: texts are dealt into blocks of BLOCK bytes,
+each block's distinct strings meet the part of the trie that holds their contexts (by the context's last 3 bytes; orders up to LOW, of
+2**24 entries at most, are broadcast), and every block's texts then meet their own strings' probabilities.
 Word counts of the base score are broadcast up to MAX_WORDS distinct words, and joined on the word's hash beyond.
 
 `adaptive` is the other mode: a text's code length under a trie that starts empty and learns from the text as it goes.
@@ -23,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,9 @@ from ._common import table, written
 from .language import split_number
 
 ORDER, MAX_NODES, MAX_WORDS, END = 5, 6_000_000, 8_000_000, 0xFF
+LOW = 2  # the orders that are broadcast at any size
+PART = 1_000_000  # strings of a distributed trie in one task
+BLOCK = 32_000_000  # bytes of text whose distinct strings are looked up together
 CHUNK = 400_000  # bytes looked at together
 ROW_BITS = 14  # rows of a batch, beside 6 bytes in a sort key of 63 bits
 END_WORD = -1  # the end token's key among the words' hashes
@@ -92,12 +99,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """From counts of (ORDER + 1)-byte strings: per order the known strings with counts, and per context its sums with and without exclusion."""
+    """From counts of (ORDER + 1)-byte strings: per order the known strings with counts, and per context its sums with and without exclusion.
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int):
-        self.order, self.levels = order, []
-        lower: dict | None = None
-        for k in range(order + 1):
+    below: a trie of lower order whose levels are taken as they are; keys are then all strings of the contexts they have."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, below: Trie | None = None):
+        self.order, self.levels = order, list(below.levels) if below else []
+        lower: dict | None = self.levels[-1] if below else None
+        for k in range(len(self.levels), order + 1):
             own, counts = merged([(keys & ((1 << 8 * (k + 1)) - 1), n)])
             ctx, first = np.unique(own >> 8, return_index=True)
             many = np.diff(np.append(first, len(own)))
@@ -170,23 +179,103 @@ def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return written(rows.mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n > 0"))
 
 
-def trie_of(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    while True:
-        level = counts.filter("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if order <= 2 or level.count() <= max_nodes:
-            found = level.toArrow()
-            return Trie(found.column("key").to_numpy(), found.column("n").to_numpy(), order)
-        order -= 1
+def level_of(counts: DataFrame, order: int) -> DataFrame:
+    """key and n of the strings of order + 1 bytes."""
+    return counts.filter("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+
+
+def trie_of(level: DataFrame, order: int) -> Trie:
+    found = level.toArrow()
+    return Trie(found.column("key").to_numpy(), found.column("n").to_numpy(), order)
+
+
+def _known(keys: np.ndarray, p: np.ndarray):
+    """The probabilities of a block's own strings, given in order of key."""
+    return lambda g: p[np.searchsorted(keys, g)]
+
+
+def _blocked(size: int):
+    """Each row with its block: consecutive texts of a task, of about `size` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+            block = first + (done + np.cumsum(sizes)) // size
+            done += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("row"), batch.column("text")], names=["block", "row", "text"])
+
+    return run
+
+
+def _of_blocks(order: int):
+    """block and key: the distinct strings of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now = [], None
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts:
+                keys = np.unique(np.concatenate(parts))
+                for k in range(0, len(keys), 200_000):
+                    own = keys[k : k + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now)), pa.array(own)], names=["block", "key"])
+            parts.clear()
 
-def score(docs: DataFrame, counts: DataFrame, keep: list[str | Column], text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
-    """keep's columns, n_tokens, n_known, train_tokens, base_score (words, add-one) and score (the trie's log10 probability)."""
-    sc = docs.sparkSession.sparkContext
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if block[a] != now:
+                    yield from flush()
+                    now = int(block[a])
+                for _, _, data, offsets in V.chunks(batch.column("text").slice(a, b - a), CHUNK):
+                    parts.append(np.unique(grams(data, offsets)[0] & ((1 << 8 * (order + 1)) - 1)))
+                if sum(map(len, parts)) > 4_000_000:
+                    parts[:] = [np.unique(np.concatenate(parts))]
+        yield from flush()
+
+    return run
+
+
+def _looked_up(below, order: int):
+    """block, key and p of rows of a block, from the trie's rows (block null), which a task has first, for all contexts of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, trie = [], None
+        for batch in batches:
+            of_trie = batch.filter(pc.is_null(batch.column("block")))
+            if of_trie.num_rows:
+                parts.append((of_trie.column("key").to_numpy(), of_trie.column("n").to_numpy()))
+            asked = batch.filter(pc.is_valid(batch.column("block")))
+            if asked.num_rows:
+                if trie is None:
+                    trie, parts = Trie(*merged(parts), order, below.value), []
+                yield pa.RecordBatch.from_arrays([asked.column("block"), asked.column("key"), pa.array(trie.log10(asked.column("key").to_numpy()))], names=["block", "key", "p"])
+
+    return run
+
+
+def score(
+    docs: DataFrame, counts: DataFrame, keep: list[str | Column], text_col: str = "text", order: int = ORDER, max_nodes: int | None = None, max_words: int = MAX_WORDS, max_held: int = MAX_NODES
+) -> DataFrame:
+    """keep's columns, n_tokens, n_known, train_tokens, base_score (words, add-one) and score (the trie's log10 probability).
+
+    max_nodes, if given, lowers the order, to 2 at least, until the trie has so many entries; a trie of over max_held stays distributed."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     words = counts.filter("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = float(np.log10(total + distinct + 1))
     small = distinct <= max_words
-    trie = sc.broadcast(trie_of(counts, order, max_nodes))
+    level = level_of(counts, order)
+    nodes = level.count()
+    while max_nodes is not None and order > 2 and nodes > max_nodes:
+        order -= 1
+        level = level_of(counts, order)
+        nodes = level.count()
+    whole = order <= LOW or nodes <= max_held
+    trie = sc.broadcast(trie_of(level, order) if whole else trie_of(level_of(counts, LOW), LOW))
     vocabulary = None
     if small:
         held = words.toArrow()
@@ -194,46 +283,79 @@ def score(docs: DataFrame, counts: DataFrame, keep: list[str | Column], text_col
         by = np.argsort(key)
         vocabulary = sc.broadcast((key[by], n[by].astype(np.float32 if n.max(initial=0) < 2**24 else np.float64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made: list[list] = [[], [], [], []]
-            listed, bounds = [], [0]
-            texts = batch.column("text")
-            for at, end, data, offsets in (c for k in range(0, len(texts), 1 << ROW_BITS) for c in V.chunks(texts.slice(k, 1 << ROW_BITS), CHUNK)):
-                rows = end - at
-                g, row = grams(data, offsets)
-                g &= (1 << 8 * (trie.value.order + 1)) - 1
-                by = np.sort((g << ROW_BITS) | row)
-                g, row = by >> ROW_BITS, by & ((1 << ROW_BITS) - 1)
-                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                each = np.repeat(trie.value.log10(g[first]), np.diff(np.append(first, len(g))))
-                made[3].append(np.bincount(row, weights=each, minlength=rows))
-                hashed, row = V.word_hashes(data, offsets)
-                hashed = np.concatenate([hashed.view(np.int64), np.full(rows, END_WORD)])
-                row = np.concatenate([row, np.arange(rows)])
-                made[0].append(np.bincount(row, minlength=rows))
-                if vocabulary is not None:
-                    own, where = np.unique(hashed, return_inverse=True)
-                    key, n = vocabulary.value
-                    p = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
-                    c = np.where(key[p] == own, n[p], 0).astype(float) if len(key) else np.zeros(len(own))
-                    made[1].append(np.bincount(row, weights=(c > 0)[where], minlength=rows))
-                    made[2].append(np.bincount(row, weights=(np.log10(c + 1) - denominator)[where], minlength=rows))
-                else:
-                    by = np.argsort(row, kind="stable")
-                    listed.append(hashed[by])
-                    bounds += (bounds[-1] + np.cumsum(made[0][-1])).tolist()
-            whole = [np.concatenate([np.zeros(0), *m]) for m in made]
-            cols = [batch.column("row"), pa.array(whole[0].astype(np.int64)), pa.array(whole[3])]
+    def scored(given: pa.Array, texts: pa.Array, log10) -> pa.RecordBatch:
+        made: list[list] = [[], [], [], []]
+        listed, bounds = [], [0]
+        for at, end, data, offsets in (c for k in range(0, len(texts), 1 << ROW_BITS) for c in V.chunks(texts.slice(k, 1 << ROW_BITS), CHUNK)):
+            rows = end - at
+            g, row = grams(data, offsets)
+            g &= (1 << 8 * (order + 1)) - 1
+            by = np.sort((g << ROW_BITS) | row)
+            g, row = by >> ROW_BITS, by & ((1 << ROW_BITS) - 1)
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            each = np.repeat(log10(g[first]), np.diff(np.append(first, len(g))))
+            made[3].append(np.bincount(row, weights=each, minlength=rows))
+            hashed, row = V.word_hashes(data, offsets)
+            hashed = np.concatenate([hashed.view(np.int64), np.full(rows, END_WORD)])
+            row = np.concatenate([row, np.arange(rows)])
+            made[0].append(np.bincount(row, minlength=rows))
             if vocabulary is not None:
-                cols += [pa.array(whole[1].astype(np.int64)), pa.array(whole[2])]
+                own, where = np.unique(hashed, return_inverse=True)
+                key, n = vocabulary.value
+                p = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+                c = np.where(key[p] == own, n[p], 0).astype(float) if len(key) else np.zeros(len(own))
+                made[1].append(np.bincount(row, weights=(c > 0)[where], minlength=rows))
+                made[2].append(np.bincount(row, weights=(np.log10(c + 1) - denominator)[where], minlength=rows))
             else:
-                cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *listed])))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "n_tokens", "score", *(("n_known", "base_score") if vocabulary is not None else ("words",))])
+                by = np.argsort(row, kind="stable")
+                listed.append(hashed[by])
+                bounds += (bounds[-1] + np.cumsum(made[0][-1])).tolist()
+        joined = [np.concatenate([np.zeros(0), *m]) for m in made]
+        cols = [given, pa.array(joined[0].astype(np.int64)), pa.array(joined[3])]
+        if vocabulary is not None:
+            cols += [pa.array(joined[1].astype(np.int64)), pa.array(joined[2])]
+        else:
+            cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *listed])))]
+        return pa.RecordBatch.from_arrays(cols, names=["row", "n_tokens", "score", *(("n_known", "base_score") if vocabulary is not None else ("words",))])
+
+    def by_trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield scored(batch.column("row"), batch.column("text"), trie.value.log10)
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block its strings, in order, then its texts."""
+        now, keys, p, log10 = None, [], [], None
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if block[a] != now:
+                    now, keys, p, log10 = block[a], [], [], None
+                part = batch.slice(a, b - a)
+                strings = part.filter(pc.is_valid(part.column("key")))
+                if strings.num_rows:
+                    keys.append(strings.column("key").to_numpy())
+                    p.append(strings.column("p").to_numpy())
+                texts = part.filter(pc.is_null(part.column("key")))
+                if texts.num_rows:
+                    log10 = log10 or _known(np.concatenate(keys), np.concatenate(p))
+                    yield scored(texts.column("row"), texts.column("text"), log10)
 
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, score double, " + ("n_known long, base_score double" if small else "words array<bigint>")
-    out = rows.mapInArrow(run, kind)
+    given = rows.schema["row"].dataType.simpleString()
+    kind = f"row {given}, n_tokens long, score double, " + ("n_known long, base_score double" if small else "words array<bigint>")
+    if whole:
+        out = rows.mapInArrow(by_trie, kind)
+    else:
+        rows = written(rows.mapInArrow(_blocked(BLOCK), f"block long, row {given}, text string"))
+        asked = rows.mapInArrow(_of_blocks(order), "block long, key long").select("block", "key", F.lit(None).cast("bigint").alias("n"))
+        both = level.select(F.lit(None).cast("bigint").alias("block"), "key", "n").unionByName(asked)
+        context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 24) - 1))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes // PART))
+        found = both.repartition(tasks, context).sortWithinPartitions(F.col("block").asc_nulls_first()).mapInArrow(_looked_up(trie, order), "block long, key long, p double")
+        found = found.select("block", "key", "p", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("text"))
+        texts = rows.select("block", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("p"), "row", "text")
+        out = found.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("key").asc_nulls_last()).mapInArrow(by_block, kind)
     if not small:
         out = written(out).withColumn("_r", F.monotonically_increasing_id())
         out = written(out)
