@@ -271,6 +271,27 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
 
 
+def test_license_headers_anywhere(spark, docs):
+    """Real headers, wrapped or not, inline notices and titles; and no window of words that anchors miss."""
+    known = licenses.Templates(licenses.TEMPLATES)
+    gnu = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    cases = {
+        gnu.format(3): "GPL-3.0", gnu.format(2): "GPL-2.0", gnu.format(3).replace("\n", " "): "GPL-3.0", "a\nAll rights reserved.\nb": "Proprietary", "Some rights reserved.": None, "License: MIT": "MIT",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0", "Apache License\nVersion 2.0, January 2004": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0", mit: "MIT",
+        "Copyright A. All rights reserved. " + mit: "MIT", "Some prose before it. Released under the MIT License, as it was for years, and more prose after it on one line": "MIT", "prose alone": None,
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "id int, text string")
+    assert {r.id: r.own_license for r in licenses.scan(frame, F.lit("a")).collect()} == dict(enumerate(cases.values()))
+    every = licenses.Templates(licenses.TEMPLATES)
+    every.near = {t: range(len(every.sizes)) for r in docs.collect() for t in licenses._TERM.findall(r.text.lower())}
+    for text in [*cases, *[r.text for r in docs.limit(60).collect() if len(r.text) < 3000]]:
+        terms = licenses._TERM.findall(text.lower())
+        assert {(i, n, k, round(c, 9)) for c, i, n, k in known.windows(terms)} == {(i, n, k, round(c, 9)) for c, i, n, k in every.windows(terms)}
+    lines = docs.filter("text rlike 'All rights reserved'").select("doc_id", "text")
+    assert lines.count() > 0 and licenses.scan(lines, F.lit("a")).filter("own_license is null").count() == 0
+
+
 def test_licenses(spark, docs, odd, none):
     known = licenses.Templates(licenses.TEMPLATES)
     everything = licenses.Templates(licenses.TEMPLATES)
