@@ -33,3 +33,12 @@ def test_matches(spark, duck, name):
     assert cols == sorted(want.columns)
     tidy = lambda df: df[cols].sort_values(cols).reset_index(drop=True).astype(str)
     assert tidy(got).equals(tidy(want))
+
+
+def test_whole_graphs_have_every_row(spark, duck):
+    from tidegraph.plans import recipes
+
+    n = lambda sql: duck.sql(sql).fetchone()[0]
+    assert recipes.link(spark, DATA, whole=True).count() == n("SELECT count(*) FROM orders")
+    assert recipes.trade(spark, DATA, whole=True).count() == n("SELECT count(*) + count(*) FILTER (l_returnflag = 'R') FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+    assert {f"{name}_whole" for name in ("scc", "reachability", "influence_power", "cac_partition", "local_pagerank", "ic_spread", "pipeline_report")} <= set(entry.queries())

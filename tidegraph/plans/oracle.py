@@ -123,3 +123,6 @@ SQL = {
 _s = "SELECT r.a AS id, sum(0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * s) AS gone FROM r JOIN own ON own.id = r.b WHERE r.b IN (SELECT id FROM {0}) GROUP BY r.a"
 _pick = "{1} AS (SELECT * FROM {0} UNION ALL SELECT * FROM (SELECT {2} AS pos, c.id FROM cand c LEFT JOIN (" + _s + ") x ON x.id = c.id WHERE c.id NOT IN (SELECT id FROM {0}) ORDER BY round(power - coalesce(gone, 0.0) - idx * 1e-9::DOUBLE, 10), idx LIMIT 1))"
 SQL["seed_select"] = _q("SELECT CAST(pos AS INTEGER) AS pos, id FROM s3", *_pow, "s0 AS (SELECT 0 AS pos, id FROM cand WHERE false)", *[_pick.format(f"s{i}", f"s{i + 1}", i + 1) for i in range(3)])
+LINK_WHOLE = LINK.replace(" WHERE o_orderkey % 8 = 0", "")
+TRADE_WHOLE = TRADE.replace("\n  WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01'", "")
+SQL |= {f"{name}_whole": sql.replace(LINK, LINK_WHOLE).replace(TRADE, TRADE_WHOLE) for name, sql in SQL.items() if LINK in sql or TRADE in sql}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ _r8 = lambda c: F.round(c, 8).alias(c)
 
 
 def _link(f):
-    return lambda spark, sf_dir: f(checkpointed(recipes.link(spark, sf_dir)))
+    return lambda spark, sf_dir, whole=False: f(checkpointed(recipes.link(spark, sf_dir, whole)))
 
 
 def _trade(f):
-    return lambda spark, sf_dir: f(checkpointed(recipes.trade(spark, sf_dir)))
+    return lambda spark, sf_dir, whole=False: f(checkpointed(recipes.trade(spark, sf_dir, whole)))
 
 
 def _dense(f):
@@ -57,8 +59,8 @@ def _lines(g: DataFrame) -> DataFrame:
     return g.select(kind.alias("value"), order.alias("n"))
 
 
-def scan_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = recipes.link(spark, sf_dir)
+def scan_metis(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    g = recipes.link(spark, sf_dir, whole)
     und = g.filter("src <> dest").select(F.explode(F.array(F.struct("src", "dest"), F.struct(F.col("dest").alias("src"), F.col("src").alias("dest")))).alias("e")).select("e.*").distinct()
     lists = und.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("dest")), lambda x: (x + 1).cast("string")), " ").alias("value"))
     body = E.dense_vertices(g).join(lists, F.col("id") == F.col("src"), "left").select(F.coalesce("value", F.lit("")).alias("value"), (F.col("id") + 1).alias("n"))
@@ -66,18 +68,18 @@ def scan_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.parse_metis(body.unionByName(head))
 
 
-def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def partition_roundtrip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     import uuid
 
-    parts = pipelines.balanced(recipes.link(spark, sf_dir), 3)
+    parts = pipelines.balanced(recipes.link(spark, sf_dir, whole), 3)
     checkpointed(spark.range(1))  # so that there is a shared folder
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/parts-{uuid.uuid4().hex}"
     T.write_parts(parts, path)
     return T.read_written_parts(spark, path)
 
 
-def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = recipes.thirds(recipes.link(spark, sf_dir))
+def scan_partitions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    parts = recipes.thirds(recipes.link(spark, sf_dir, whole))
     name = F.concat(F.lit("partition_"), F.col("part").cast("string"), F.lit(".txt")).alias("file")
     rows = parts.select(name, F.explode(F.array(F.col("node").cast("string"), F.concat(F.lit(" "), F.col("node").cast("string")), F.lit("oops"))).alias("value"))
     return T.parse_parts(rows)
@@ -174,3 +176,6 @@ QUERIES = {
     "ic_total": _ic_query(lambda sub, g, parts: cascade.total(_ic(sub, g, parts), TRIALS)),
     "pipeline_report": _trade(_report),
 }
+#: Those whose recipe has its whole table already.
+DENSE = ("edge_dedup", "vertex_set", "followers_followees")
+QUERIES |= {f"{name}_whole": partial(q, whole=True) for name, q in QUERIES.items() if name not in DENSE}

@@ -1,4 +1,6 @@
-"""Interaction graphs made of the order tables, by integer arithmetic only: sparse `link`, bipartite `trade`, dense `dense`."""
+"""Interaction graphs made of the order tables, by integer arithmetic only: sparse `link`, bipartite `trade`, dense `dense`.
+
+link takes one order in eight and trade one month of items, as their recipes say; with whole=True both take their whole tables."""
 
 from __future__ import annotations
 
@@ -14,14 +16,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def link(spark: SparkSession, sf_dir: str) -> DataFrame:
+def link(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     n = _t(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n_cust"))  # one row
-    rows = _t(spark, sf_dir, "orders").filter("o_orderkey % 8 = 0").crossJoin(F.broadcast(n))
+    rows = _t(spark, sf_dir, "orders").filter("true" if whole else "o_orderkey % 8 = 0").crossJoin(F.broadcast(n))
     return with_occ(rows.selectExpr("o_custkey as src", "(o_custkey * 31 + o_orderkey * 17) % n_cust as dest", *_WEIGHTS))
 
 
-def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _t(spark, sf_dir, "lineitem").filter("l_shipdate >= timestamp_ntz'1995-03-01' and l_shipdate < timestamp_ntz'1995-04-01'")
+def trade(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem").filter("true" if whole else "l_shipdate >= timestamp_ntz'1995-03-01' and l_shipdate < timestamp_ntz'1995-04-01'")
     rows = items.join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.selectExpr("o_custkey as c", "1000000 + l_suppkey as s", "cast(l_quantity as int) as likes", "l_linenumber as shares", "l_returnflag = 'R' as back")
     there = rows.select(F.col("c").alias("src"), F.col("s").alias("dest"), "likes", "shares", F.lit(0).alias("comments"))
