@@ -126,3 +126,4 @@ SQL["seed_select"] = _q("SELECT CAST(pos AS INTEGER) AS pos, id FROM s3", *_pow,
 LINK_WHOLE = LINK.replace(" WHERE o_orderkey % 8 = 0", "")
 TRADE_WHOLE = TRADE.replace("\n  WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01'", "")
 SQL |= {f"{name}_whole": sql.replace(LINK, LINK_WHOLE).replace(TRADE, TRADE_WHOLE) for name, sql in SQL.items() if LINK in sql or TRADE in sql}
+SQL["scan_edgelist_whole"] = SQL["scan_edgelist_whole"].replace("LIMIT 1000", "LIMIT 250000")

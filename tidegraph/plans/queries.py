@@ -179,3 +179,4 @@ QUERIES = {
 #: Those whose recipe has its whole table already.
 DENSE = ("edge_dedup", "vertex_set", "followers_followees")
 QUERIES |= {f"{name}_whole": partial(q, whole=True) for name, q in QUERIES.items() if name not in DENSE}
+QUERIES["scan_edgelist_whole"] = lambda spark, sf_dir: T.parse_edges(_lines(checkpointed(recipes.link(spark, sf_dir, whole=True))), cap=250_000)
