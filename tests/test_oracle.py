@@ -48,3 +48,13 @@ def test_scan_keeps_all_lines(spark, duck):
     """Over 1,000 valid lines are all kept, as the reference does up to 250,000."""
     got = QUERIES["scan_edgelist_whole"](spark, DATA).count()
     assert got == duck.sql("SELECT count(*) FROM orders WHERE o_custkey % 11 NOT IN (3, 4, 5)").df().iloc[0, 0] > 1000
+
+
+def test_kway_holds_its_cut(spark, monkeypatch):
+    """A split of even sizes that cuts more than its starting ranges isn't passed as balanced."""
+    from tidegraph.plans import queries as Q
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(29)], "src long, dest long")
+    assert Q._kway(path).first().balanced
+    monkeypatch.setattr(Q.S, "kway", lambda g, k: Q.recipes.thirds(g))
+    assert not Q._kway(path).first().balanced

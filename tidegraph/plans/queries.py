@@ -118,10 +118,14 @@ def _report(g: DataFrame) -> DataFrame:
 
 
 def _kway(g: DataFrame) -> DataFrame:
-    """The split's invariants: vertices, parts, the largest part, and whether the cut is at most that of the ranges it starts from."""
+    """The split's invariants: vertices, parts, and `balanced`: part sizes are even and the cut is at most that of the ranges it starts from."""
     parts = checkpointed(S.kway(g, 3))
     per = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("node").alias("d"))
-    return per.agg(F.sum("c").alias("n_vertices"), F.sum("d").alias("n_distinct"), F.count(F.lit(1)).alias("n_parts"), (F.max("c") * 3 <= F.ceil(F.sum("c") * 1.03) + 3).alias("balanced"))
+    sums = per.agg(F.sum("c").alias("n_vertices"), F.sum("d").alias("n_distinct"), F.count(F.lit(1)).alias("n_parts"), (F.max("c") * 3 <= F.ceil(F.sum("c") * 1.03) + 3).alias("even"))
+    index = checkpointed(E.vertex_index(g))
+    ranges = index.select(F.col("id").alias("node"), F.expr(f"cast(idx * 3 div {max(index.count(), 1)} as int)").alias("part"))
+    cuts = S.edge_cut(g, parts).select("cut").crossJoin(F.broadcast(S.edge_cut(g, ranges).select(F.col("cut").alias("start"))))  # one row each
+    return sums.crossJoin(F.broadcast(cuts)).select("n_vertices", "n_distinct", "n_parts", (F.col("even") & (F.col("cut") <= F.col("start"))).alias("balanced"))
 
 
 QUERIES = {
