@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let, lower_ascii, table, words_of, written
+from ._common import beside, let, lower_ascii, table, words_of, written
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -89,8 +89,13 @@ def is_contaminated(n_hit: Column, n_words: Column, share_of: int = 20) -> Colum
 
 
 def remove_documents(docs: DataFrame, bench: DataFrame, share_of: int = 20, **options) -> DataFrame:
-    """docs without the contaminated rows, columns as they were."""
-    return contamination(docs, bench, **options).filter(~is_contaminated(F.col("n_hit"), F.col("n_words"), share_of)).select("doc.*")
+    """docs without the contaminated rows, columns as they were. Only hashes of texts and counts are gathered, and whole rows are shuffled only if very many
+    different texts go (`beside`)."""
+    text = F.col(f"`{options.get('text_col', 'text')}`")
+    key = F.unhex(F.sha2(text, 256))  # equal texts are judged alike
+    found = contamination(docs.select(key.alias("key"), text.alias("text")), bench, **options | {"carry": ["key"], "text_col": "text"})
+    gone = written(found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"), share_of)).select("doc.key").distinct())
+    return beside(docs, gone, key == gone["key"], "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:

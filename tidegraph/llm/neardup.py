@@ -7,13 +7,15 @@ nothing). Texts are linked if 100 * intersection >= threshold * union. The steps
    512-bit map, so the population count of two maps' XOR estimates their similarity, sharply where it is high.
 2. Equal sets are one class from here on, however many copies there are; a class is known by a 128-bit hash of its set.
 3. Classes that share a band key are candidates. Each bucket is compared by sketches within a task, which emits only a spanning
-   forest of pairs estimated at `sure` or more, far below the threshold: never all pairs. Buckets of many members are dealt out as
+   forest of pairs estimated at no more than SLACK below the threshold: never all pairs. Buckets of many members are dealt out as
    pairs of blocks. The forests' components are clusters.
 4. Each cluster's texts (one per class) meet in a task, or as pairs of blocks in several, where full sets are compared exactly, and
    again a spanning forest of the links is emitted. Its components are the result.
 
-At 85 in 100, 25 bands of 5 rows miss a link with probability 4e-7 and the sketch filter (0.60) with less than 1e-8; nothing else is
-lost. 64-bit shingle hashes stand for shingles.
+A link of the least similarity is missed by 25 bands of 5 rows with probability 5e-5 at 80 in 100, 4e-7 at 85, and by the sketch
+filter with less than 1e-6; nothing else is lost. 64-bit hashes, mixed after every 8 bytes of a word and every word, stand for shingles.
+
+Texts travel only to step 4, and only those of clusters: the list of them is broadcast if `beside` finds it short.
 
 Cases: null ids are carried along, and only represent a component if it has no other id; repeated rows are members like any other;
 an empty table gives an empty result; other columns aren't read.
@@ -25,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._common import table, written
+from ._common import beside, drop, table, written
 from ._components import components
 
-BANDS, ROWS, BITS, SURE, N = 25, 5, 512, 0.60, 5
+THRESHOLD, BANDS, ROWS, BITS, SLACK, N = 80, 25, 5, 512, 0.2, 5
 BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1_500_000
 _rng = np.random.default_rng(20240608)
 _XOR = _rng.integers(1, 2**64 - 1, BANDS * ROWS, dtype=np.uint64)
@@ -127,9 +129,13 @@ def _edges(us: list, vs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
 
 
-def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_sketch(threshold: int):
     """Of each bucket, or pair of blocks of one, a spanning forest of its pairs that sketches find similar."""
-    most, us, vs, done = _most_differing(SURE), [], [], set()
+    return lambda batches: _sketched(batches, _most_differing(threshold / 100 - SLACK))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    us, vs, done = [], [], set()
     for t in _groups(batches, "g"):
         sigs = t.column("sig").to_pylist()
         if len(sigs) < 2 or (mark := tuple(sigs) if len(sigs) < 9 else None) in done:
@@ -189,40 +195,56 @@ def _in_blocks(rows: DataFrame, blocks: str, *keys: str) -> DataFrame:
     return out.drop("_own", "_pair", blocks, *keys).repartition("g").sortWithinPartitions("g", "sig")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id linked, over any number of links) and kept, one row per row of docs."""
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+def _judged(docs: DataFrame, threshold: int) -> DataFrame:
+    """Of rows (id, th, text): id, th, n_shingles, and of those with words rep, the (none, id, th) that represents their component. Written."""
     kind = docs.schema["id"].dataType.simpleString()
     made = written(docs.mapInArrow(_featured, f"id {kind}, th long, n_shingles long, sig binary, keys array<long>, sketch binary"))
     full = made.filter(F.col("sig").isNotNull())
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep")
     classes = written(full.groupBy("sig").agg(least, F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    thin = written(made.select("id", "th", "n_shingles", "sig"))
+    drop(made)
     keyed = classes.select("sig", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BUCKET_BLOCK).alias("blocks"))
-    members = keyed.join(shared, "key").join(classes.select("sig", "sketch"), "sig")
-    likely = _in_blocks(members.select("sig", "sketch", "key", "blocks"), "blocks", "key").mapInArrow(_by_sketch, "u binary, v binary")
-    clusters = written(components(likely).withColumnsRenamed({"node": "sig", "root": "cluster"}).join(classes.select("sig", "rep", "n"), "sig"))
+    members = keyed.join(shared.hint("merge"), "key").join(classes.select("sig", "sketch").hint("merge"), "sig")
+    likely = _in_blocks(members.select("sig", "sketch", "key", "blocks"), "blocks", "key").mapInArrow(_by_sketch(threshold), "u binary, v binary")
+    clusters = written(components(likely).withColumnsRenamed({"node": "sig", "root": "cluster"}).join(classes.select("sig", "rep", "n").hint("merge"), "sig"))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_BLOCK).alias("blocks"))
-    wanted = clusters.select("sig", "cluster", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")).join(blocks, "cluster")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(F.col("rid")) & (docs["th"] == F.col("rth"))).select("sig", "text", "cluster", "blocks")
+    wanted = written(clusters.join(blocks, "cluster").select("sig", "cluster", "blocks", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")))
+    texts = beside(docs, wanted, docs["id"].eqNullSafe(F.col("rid")) & (docs["th"] == F.col("rth")), "inner").select("sig", "text", "cluster", "blocks")
     links = _in_blocks(texts, "blocks", "cluster").mapInArrow(_by_set(threshold), "u binary, v binary")
     roots = components(links)
-    named = classes.select("sig", "rep").join(roots, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "rep")
-    own = named.groupBy("root").agg(F.min("rep").alias("rep")).select("root", F.col("rep.id").alias("component_id"))
-    of = named.select("sig", "root").join(own, "root").select("sig", "component_id")
-    out = made.select("id", "n_shingles", "sig").join(of, "sig", "left")
-    out = out.withColumn("component_id", F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = classes.select("sig", "rep").join(roots.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root"), "rep")
+    own = named.groupBy("root").agg(F.min("rep").alias("rep"))
+    of = named.select("sig", "root").join(own.hint("merge"), "root").select("sig", "rep")
+    out = written(thin.join(of.hint("merge"), "sig", "left").select("id", "th", "n_shingles", "rep"))
+    drop(classes, thin, clusters, wanted)
+    return out
 
 
-def deduplicate(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest id (null ids last, then any one of equal rows), columns as they were."""
-    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("n", F.monotonically_increasing_id()))
-    own = F.col("row").getField(id_col)
-    keyed = rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), "n").alias("k"), F.col("row").getField(text_col).alias("text"))
-    kept = near_duplicates(keyed, threshold, "k", "text").filter("kept").select("id.n")
-    return rows.join(kept, "n", "left_semi").select("row.*")
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id linked, over any number of links) and kept, one row per row of docs."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    component = F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep.id"))
+    return _judged(rows, threshold).select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of the smallest id (null ids last; of equal ids, any one of those whose text has the least hash), columns as they were."""
+    id_, th = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    judged = _judged(docs.select(id_.alias("id"), th.alias("th"), F.col(f"`{text_col}`").alias("text")), threshold)
+    stays = F.col("rep").isNull() | (F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th")))
+    gone = written(judged.filter(~stays).select("id", "th").distinct())
+    on = lambda few: id_.eqNullSafe(few["id"]) & (th == few["th"])
+    left = beside(docs, gone, on(gone), "left_anti")
+    # Rows of one id and text: one of them stays.
+    twice = written(judged.filter(stays & F.col("rep").isNotNull()).groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "th"))
+    if twice.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = beside(left, twice, on(twice), "inner").groupBy(twice["id"], twice["th"]).agg(F.first(row).alias("row")).select("row.*")
+    return beside(left, twice, on(twice), "left_anti").unionByName(one)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), 85).withColumnRenamed("id", "doc_id")
