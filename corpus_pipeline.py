@@ -4,10 +4,12 @@ Every stage takes what its predecessor kept, written as Parquet and read again,
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.llm import decontaminate, mixing, neardup, quality, sharding
-from tidegraph.llm._common import table, written
+from tidegraph.llm._common import alone, drop, table
 
 SHARDS = 40
 
@@ -18,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id."""
+    """One document of each group of similarity 0.8 or more stays, that of the smallest id."""
     return neardup.deduplicate(docs)
 
 
@@ -50,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = alone(partial(stage, spark, docs, sf_dir))
+        drop(*last)  # of each stage its result alone is held, and that only until the next one has read it
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
