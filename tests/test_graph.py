@@ -80,6 +80,9 @@ def test_reach_and_power(spark, toy):
     info = {r.root: (r.size, round(r.avg_dist, 6)) for r in R.bfs_info(zones).collect()}
     assert info[1] == (7, 2.428571) and info[3] == (7, 1.285714) and info[10] == (2, 0.5) and info[12] == (4, 1.0) and info[7] == (1, 0)
     assert rows(R.bfs(toy, E.vertices(toy), max_edges=1), "root", "node", "dist") == rows(zones, "root", "node", "dist")
+    every = E.vertices(toy).unionByName(spark.createDataFrame([(77,)], "id long"))
+    short = lambda df: {(r.root, r.size, round(r.avg_dist, 9)) for r in df.collect()}
+    assert short(R.zone_sizes(toy, every)) == short(R.zone_sizes(toy, every, max_edges=1)) == short(R.bfs_info(R.bfs(toy, every)))
     assert rows(R.reachability(toy), "root", "node") == rows(zones, "root", "node")
     power = I.power(toy).cache()
     got = {r.id: round(r.power, 6) for r in power.collect()}
@@ -147,6 +150,53 @@ def test_text_formats(spark, tmp_path):
         T.read_parts(spark, str(tmp_path / "q_4.txt"))
 
 
+def test_files(spark, tmp_path):
+    """Lines keep their order over blocks of a file; METIS files are held against their headers; what isn't there is an error."""
+    (tmp_path / "long.txt").write_text("".join(f"{i} {i + 1} 1 1 1\n" for i in range(5000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = T.numbered_lines(spark, str(tmp_path / "long.txt"))
+        assert {(r.n, r.value.split()[0]) for r in lines.collect()} == {(i, str(i)) for i in range(5000)}
+        assert rows(T.read_edges(spark, str(tmp_path / "long.txt"), cap=1234), "src") == {(i,) for i in range(1234)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    (tmp_path / "m.txt").write_text("3 2\n2 3\n1\n1\n")
+    assert rows(T.read_metis(spark, str(tmp_path / "m.txt")), "src", "dest") == {(0, 1), (0, 2), (1, 0), (2, 0)}
+    (tmp_path / "m.txt").write_text("3 5\n2 3\n1\n1\n4 4\n")
+    with pytest.warns(UserWarning, match="10 ends expected, 6 found|10 ends expected, 4 found"):
+        assert T.read_metis(spark, str(tmp_path / "m.txt")).count() == 4
+    for text, error in (("3 2\n2 3\n1\n", "2 adjacency lines"), ("", "no header"), ("x\n", "no header")):
+        (tmp_path / "m.txt").write_text(text)
+        with pytest.raises(ValueError, match=error):
+            T.read_metis(spark, str(tmp_path / "m.txt"))
+    for read in (T.read_edges, T.read_metis, T.read_parts):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "nowhere.txt"))
+    (tmp_path / "none.txt").write_text("")
+    assert T.read_edges(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_places(spark):
+    from tidegraph.functions.ranks import placed
+    from tidegraph.operators.iterate import checkpointed
+
+    frame = spark.createDataFrame([(i * 7919 % 1000, None if i == 5 else f"s{i % 3}") for i in range(1000)], "a long, s string").repartition(5)
+    want = sorted(frame.collect(), key=lambda r: (r.s is None, r.s or "", -r.a))
+    got = placed(frame, F.col("s").asc_nulls_last(), F.desc("a"), cut=checkpointed).orderBy("place").collect()
+    assert [(r.a, r.s, r.place) for r in got] == [(r.a, r.s, i) for i, r in enumerate(want)]
+
+
+def test_kway_cut(spark):
+    """Two cliques, split by id modulo 3: the split's cut is counted, and is below the start's."""
+    from tidegraph.plans import queries as Q
+
+    links = spark.createDataFrame([(i, j) for base in (0, 30, 60) for i in range(base, base + 12) for j in range(base, i)], "src long, dest long")
+    row = Q._kway_cut(links).first()
+    parts = {r.node: r.part for r in S.kway(links, 3).collect()}
+    assert row.n_edges == 3 * 66 and row.cut == sum(parts[r.src] != parts[r.dest] for r in links.collect()) < row.start
+
+
 def test_stream(spark, tmp_path):
     from tidegraph.streaming.edges import stream_edges
 
@@ -179,3 +229,14 @@ def test_kernels(links):
     dag = np.unique(np.stack([comp[s][cut], comp[d][cut]]), axis=1) if cut.any() else np.zeros((2, 0), dtype=int)
     level = K.longest_levels(n, dag[0], dag[1])
     assert (level[dag[1]] > level[dag[0]]).all()
+    roots = np.arange(n).repeat(20)[:130]  # over two words of bits
+    size, total = K.reached(starts, to, roots)
+    want = [K.distances(starts, to, int(r)) for r in roots]
+    assert size.tolist() == [len(x[0]) for x in want] and total.tolist() == [int(x[1].sum()) for x in want]
+    values = np.arange(2 * n).reshape(n, 2)
+    for target in (np.arange(n), np.arange(n)[::2]):
+        there = np.eye(n, dtype=bool)
+        there[dag[0], dag[1]] = True
+        for _ in range(4):
+            there = there @ there
+        assert K.reach_sums(target, values, dag[0], dag[1], level).tolist() == (there[:, target].astype(int) @ values[target]).tolist()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import influence, weight
+from ..functions.ranks import placed
 from ..options import Weights
+from .iterate import checkpointed
 
 KEY = ["src", "dest", "likes", "shares", "comments"]
 
@@ -41,17 +43,13 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def dense_vertices(edges: DataFrame) -> DataFrame:
     """0 to the largest id; gaps are isolated vertices."""
-    top = edges.agg(F.max(F.greatest("src", "dest")).alias("m"))
-    return top.filter("m is not null").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("id"))
+    top = edges.agg(F.max(F.greatest("src", "dest"))).first()[0]
+    return edges.sparkSession.range(0, 0 if top is None else top + 1).select("id")
 
 
 def vertex_index(edges: DataFrame) -> DataFrame:
-    """id and its place among all ids, from 0: numbered in ranges of ids, whose sizes are summed first."""
-    ids = vertices(edges).withColumn("b", F.expr("id div 65536"))
-    sizes = ids.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("first"))
-    own = F.row_number().over(Window.partitionBy("b").orderBy("id"))
-    return ids.withColumn("rn", own).join(first, "b").select("id", (F.col("first") + F.col("rn") - 1).alias("idx"))
+    """id and its place among all ids, from 0."""
+    return placed(vertices(edges), "id", cut=checkpointed, name="idx")
 
 
 def weighted(edges: DataFrame, w: Weights) -> DataFrame:

@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import influence
+from ..functions.ranks import placed
 from . import kernels as K
 from .components import dag, levels, scc
-from .edges import degrees, influence_score, vertex_index
+from .edges import degrees, influence_score, pairs, vertex_index
 from .iterate import checkpointed
-from .reach import bfs, closure
+from .reach import bfs, closure, held_graph
 
-#: Components that a task's boolean reach matrix covers at a time, and the largest matrix height.
+#: Components that a task's matrix of reach bits covers at a time, and its largest height: 26 MB.
 BLOCK, MAX_COMPONENTS = 1024, 200_000
 
 
@@ -40,9 +41,9 @@ def power_parts(edges: DataFrame, max_edges: int = K.MAX_EDGES, max_components:
             val, src, dest, level, all_names = held.value
             for pdf in parts:
                 for b in pdf.id:
-                    got = K.reach_sums(pd.DataFrame({"target": np.arange(b * BLOCK, min((b + 1) * BLOCK, len(all_names)))}), val, src, dest, level)
+                    got = K.reach_sums(np.arange(b * BLOCK, min((b + 1) * BLOCK, len(all_names))), val, src, dest, level)
                     keep = np.flatnonzero(got.any(axis=1))
-                    yield pd.DataFrame({"scc": all_names[keep], "f": got[keep, 0].astype(np.int64), "s": got[keep, 1].astype(np.int64)})
+                    yield pd.DataFrame({"scc": all_names[keep], "f": got[keep, 0], "s": got[keep, 1]})
 
         per = spark.range(0, blocks, 1, min(blocks, 4096)).mapInPandas(run, "scc long, f long, s long")
     else:
@@ -60,35 +61,34 @@ def power(edges: DataFrame, d: float = 0.85, **options) -> DataFrame:
 
 
 def candidates(powers: DataFrame) -> DataFrame:
-    """A fifth of the vertices (one at least) by power, ties to the larger index, in order of index."""
-    powers = checkpointed(powers)
-    k = max(1, powers.count() // 5)
-    return powers.orderBy(F.desc(F.round("power", 10)), F.desc("idx")).limit(k).orderBy("idx")  # top-k is the feature
+    """A fifth of the vertices (one at least) by power, ties to the larger index."""
+    ranked = placed(powers.withColumn("_p", F.round("power", 10)), F.desc("_p"), F.desc("idx"), cut=checkpointed).drop("_p")
+    return ranked.filter(F.col("place") < max(1, powers.count() // 5)).drop("place")
 
 
 def ranking(scores: DataFrame, by: str = "score") -> DataFrame:
-    """Place 1 for the highest score; ties to the larger id. Places are counted within (score, range of ids), whose sizes are summed first, so no task sorts all."""
-    rows = scores.select("id", by, F.round(by, 10).alias("s"), F.expr("id div 65536").alias("b"))
-    sizes = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.select("s", "b", (F.sum("n").over(Window.orderBy(F.desc("s"), F.desc("b"))) - F.col("n")).alias("first"))
-    own = F.row_number().over(Window.partitionBy("s", "b").orderBy(F.desc("id")))
-    return rows.withColumn("own", own).join(first, ["s", "b"]).select("id", by, (F.col("first") + F.col("own")).alias("place"))
+    """Place 1 for the highest score; ties to the larger id."""
+    ranked = placed(scores.select("id", by, F.round(by, 10).alias("_s")), F.desc("_s"), F.desc("id"), cut=checkpointed)
+    return ranked.select("id", by, (F.col("place") + 1).alias("place"))
 
 
 def seeds(edges: DataFrame, powers: DataFrame, k: int = 3, mode: str = "min_rank") -> DataFrame:
     """(pos, id): k rounds; each takes the candidate whose power, less the scores of seeds that it reaches and 1e-9 x index, is least (min_rank)
-    or greatest (max_rank); ties to the smaller index."""
+    or greatest (max_rank); ties to the smaller index. Only who reaches a seed is looked for, back from each as it is chosen."""
     if k < 1 or mode not in ("min_rank", "max_rank"):
         raise ValueError("k must be 1 or more, mode min_rank or max_rank")
-    pool = checkpointed(candidates(powers))
-    score, taken, spark = influence_score(edges), [], edges.sparkSession
-    zones = checkpointed(bfs(edges, pool.select("id")).join(pool.select(F.col("id").alias("node")), "node", "left_semi").join(score.withColumnsRenamed({"id": "node", "score": "s"}), "node"))
-    for _ in range(k):
-        gone = zones.filter(F.col("node").isin([i for _, i in taken]) if taken else F.lit(False)).groupBy(F.col("root").alias("id")).agg(F.sum("s").alias("gone"))
-        left = pool.join(gone, "id", "left").filter(~F.col("id").isin([i for _, i in taken]) if taken else F.lit(True))
-        rank = F.round(F.col("power") - F.coalesce("gone", F.lit(0.0)) - F.col("idx") * 1e-9, 10)
+    pool, taken, spark = checkpointed(candidates(powers).withColumn("gone", F.lit(0.0))), [], edges.sparkSession
+    back = checkpointed(pairs(edges).select(F.col("dest").alias("src"), F.col("src").alias("dest")))
+    score, graph = checkpointed(influence_score(edges)), held_graph(back)
+    for pos in range(1, k + 1):
+        rank = F.round(F.col("power") - F.col("gone") - F.col("idx") * 1e-9, 10)
+        left = pool.filter(~F.col("id").isin([i for _, i in taken])) if taken else pool
         best = left.select("id", "idx", rank.alias("rank")).orderBy(F.col("rank") if mode == "min_rank" else F.desc("rank"), "idx").first()
         if best is None:
             break
-        taken.append((len(taken) + 1, best["id"]))
+        taken.append((pos, best["id"]))
+        if pos < k:
+            own = score.filter(F.col("id") == best["id"]).first()["score"]
+            reach = bfs(back, spark.createDataFrame([(best["id"],)], "id long"), graph=graph).select(F.col("node").alias("id"), F.lit(own).alias("s"))
+            pool = checkpointed(pool.join(reach, "id", "left").withColumn("gone", F.col("gone") + F.coalesce("s", F.lit(0.0))).drop("s"))
     return spark.createDataFrame(taken, "pos int, id long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,10 +13,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegraph-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _own_folder(sc.master))
     return df.checkpoint()
 
 
+def _own_folder(master: str) -> str:
+    """A temporary folder, which only local mode may use: elsewhere executors couldn't see each other's files."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tidegraph-")
+
+
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 10_000) -> DataFrame:
     """step over and over, until the number of rows stays."""
     now = checkpointed(start)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 
 MAX_EDGES = 2_000_000
 
@@ -89,15 +88,50 @@ def distances(starts: np.ndarray, to: np.ndarray, root: int) -> tuple[np.ndarray
     return found, dist[found]
 
 
-def reach_sums(pdf: pd.DataFrame, values: np.ndarray, src: np.ndarray, dest: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Per vertex of a DAG, the sums of values over what it reaches among pdf.target (itself included): boolean rows, filled from the sinks up."""
-    target = pdf["target"].to_numpy()
-    reach = np.zeros((len(level), len(target)), dtype=bool)
-    reach[target, np.arange(len(target))] = True
-    for lv in np.unique(level[src])[::-1] if len(src) else []:
-        own = level[src] == lv
-        by = np.argsort(src[own], kind="stable")
-        s, d = src[own][by], dest[own][by]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        reach[s[first]] |= np.logical_or.reduceat(reach[d], first, axis=0)
-    return reach.astype(np.float64) @ values[target].astype(np.float64)
+def reached(starts: np.ndarray, to: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many vertices each root reaches, itself included, and the sum of their distances: one bit a root, all of a word's roots at a time."""
+    n, words = len(starts) - 1, -(-len(roots) // 64)
+    bit = np.uint64(1) << (np.arange(len(roots)) % 64).astype(np.uint64)
+    seen = np.zeros((n, words), dtype=np.uint64)
+    np.bitwise_or.at(seen, (roots, np.arange(len(roots)) // 64), bit)
+    # Per vertex, what its predecessors hold: edges in order of their ends.
+    src = np.repeat(np.arange(n), np.diff(starts))
+    by = np.argsort(to, kind="stable")
+    src, ends = src[by], to[by]
+    first = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]])) if len(ends) else np.zeros(0, np.int64)
+    size, total, far, front = np.ones(len(roots), np.int64), np.zeros(len(roots), np.int64), 0, seen.copy()
+    while len(first):
+        far += 1
+        new = np.zeros_like(seen)
+        new[ends[first]] = np.bitwise_or.reduceat(front[src], first, axis=0)
+        new &= ~seen
+        some = np.flatnonzero(new.any(axis=1))
+        if not len(some):
+            break
+        seen |= new
+        found = np.zeros(words * 64, np.int64)
+        for at in range(0, len(some), 8192):
+            found += np.unpackbits(new[some[at : at + 8192]].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        size += found[: len(roots)]
+        total += far * found[: len(roots)]
+        front = new
+    return size, total
+
+
+def reach_sums(target: np.ndarray, values: np.ndarray, src: np.ndarray, dest: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Per vertex of a DAG, the sums of values over what it reaches among the targets (itself included): a bit for each, filled from the sinks up."""
+    words = -(-len(target) // 64)
+    reach = np.zeros((len(level), words), dtype=np.uint64)
+    np.bitwise_or.at(reach, (target, np.arange(len(target)) // 64), np.uint64(1) << (np.arange(len(target)) % 64).astype(np.uint64))
+    order = np.lexsort((src, -level[src])) if len(src) else np.zeros(0, np.int64)
+    s, d = src[order], dest[order]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(level[s]) != 0])) if len(s) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(s))[: len(cuts)], strict=True):
+        first = np.flatnonzero(np.concatenate([[True], s[a + 1 : b] != s[a : b - 1]]))
+        reach[s[a:b][first]] |= np.bitwise_or.reduceat(reach[d[a:b]], first, axis=0)
+    out, own = np.zeros((len(level), values.shape[1]), dtype=np.int64), values[target]
+    some = np.flatnonzero(reach.any(axis=1))
+    for at in range(0, len(some), 4096):  # sums stay below 2**53, so that floats give them exactly
+        rows = some[at : at + 4096]
+        out[rows] = (np.unpackbits(reach[rows].view(np.uint8), axis=1, bitorder="little")[:, : len(target)].astype(np.float64) @ own.astype(np.float64)).astype(np.int64)
+    return out

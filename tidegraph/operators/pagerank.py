@@ -22,6 +22,16 @@ def out_weights(eff: DataFrame) -> DataFrame:
 def pagerank(sub: DataFrame, options: RankOptions) -> DataFrame:
     """(part, id, pr) from sub (part, src, dest, w): Jacobi steps; what vertices without a positive out-weight hold is lost; stops when a
     part's summed change is below tol, each part by itself, or after max_iter steps."""
+    return _ranked(sub, options).select("part", "id", "pr")
+
+
+def convergence(sub: DataFrame, options: RankOptions) -> DataFrame:
+    """(part, n_nodes, n_steps, converged): how pagerank ended in every part."""
+    ended = _ranked(sub, options)
+    return ended.groupBy("part").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("steps").alias("n_steps"), F.max("still").alias("converged"))
+
+
+def _ranked(sub: DataFrame, options: RankOptions) -> DataFrame:
     sub = checkpointed(sub.select("part", "src", "dest", "w"))
     nodes = sub.select("part", F.col("src").alias("id")).distinct()
     count = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -29,11 +39,11 @@ def pagerank(sub: DataFrame, options: RankOptions) -> DataFrame:
     eff = effective(sub)
     share = eff.join(out_weights(eff).filter("out_w > 0"), ["part", "src"]).groupBy("part", "src", "dest").agg((F.sum("w") / F.first("out_w")).alias("p"))
     share = checkpointed(share.repartition("part", "src"))
-    now = nodes.select("part", "id", "n", (F.lit(1.0) / F.col("n")).alias("pr"), F.lit(False).alias("still"))
+    now = nodes.select("part", "id", "n", (F.lit(1.0) / F.col("n")).alias("pr"), F.lit(False).alias("still"), F.lit(0).alias("steps"))
     for i in range(options.max_iter):
         got = share.join(now.select("part", F.col("id").alias("src"), "pr"), ["part", "src"]).groupBy("part", F.col("dest").alias("id")).agg(F.sum(F.col("pr") * F.col("p")).alias("got"))
         new = (F.lit(1 - options.d) / F.col("n")) + F.lit(options.d) * F.coalesce("got", F.lit(0.0))
-        step = now.join(got, ["part", "id"], "left").select("part", "id", "n", F.when(F.col("still"), F.col("pr")).otherwise(new).alias("pr"), F.abs(F.when(F.col("still"), 0.0).otherwise(new) - F.when(F.col("still"), 0.0).otherwise(F.col("pr"))).alias("change"), "still")
+        step = now.join(got, ["part", "id"], "left").select("part", "id", "n", F.when(F.col("still"), F.col("pr")).otherwise(new).alias("pr"), F.abs(F.when(F.col("still"), 0.0).otherwise(new) - F.when(F.col("still"), 0.0).otherwise(F.col("pr"))).alias("change"), "still", F.when(F.col("still"), F.col("steps")).otherwise(i + 1).alias("steps"))
         if options.tol is None:
             now = step.drop("change")
             if i % 5 == 4:
@@ -45,7 +55,7 @@ def pagerank(sub: DataFrame, options: RankOptions) -> DataFrame:
         now = checkpointed(now)
         if not now.filter("not still").limit(1).count():
             break
-    return now.select("part", "id", "pr")
+    return now
 
 
 def top(ranks: DataFrame, parts: DataFrame, k: int) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 _OCC = "row_number() OVER (PARTITION BY src, dest, likes, shares, comments)"
 _W = "CAST((o_orderkey // 8) % 6 AS INTEGER) AS likes, CAST((o_orderkey // 48) % 4 AS INTEGER) AS shares, CAST((o_orderkey // 192) % 3 AS INTEGER) AS comments"
-LINK = f"g0 AS (SELECT o_custkey AS src, (o_custkey * 31 + o_orderkey * 17) % (SELECT count(*) FROM customer) AS dest, {_W} FROM orders WHERE o_orderkey % 8 = 0), g AS (SELECT *, CAST({_OCC} AS INTEGER) AS occ FROM g0)"
-TRADE = f"""t0 AS (SELECT o_custkey AS c, 1000000 + l_suppkey AS s, CAST(l_quantity AS INTEGER) AS likes, l_linenumber AS shares, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01'),
+LINK = f"g0 AS (SELECT o_custkey AS src, (o_custkey * 31 + o_orderkey * 17) % (SELECT count(*) FROM customer) AS dest, {_W} FROM orders), g AS (SELECT *, CAST({_OCC} AS INTEGER) AS occ FROM g0)"
+TRADE = f"""t0 AS (SELECT o_custkey AS c, 1000000 + l_suppkey AS s, CAST(l_quantity AS INTEGER) AS likes, l_linenumber AS shares, l_returnflag = 'R' AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 g0 AS (SELECT c AS src, s AS dest, likes, shares, 0 AS comments FROM t0 UNION ALL SELECT s, c, likes, shares, 1 FROM t0 WHERE back), g AS (SELECT *, CAST({_OCC} AS INTEGER) AS occ FROM g0)"""
 DENSE = f"g0 AS (SELECT * FROM (SELECT lag(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey) AS src, o_custkey AS dest, {_W} FROM orders) WHERE src IS NOT NULL), g AS (SELECT *, CAST({_OCC} AS INTEGER) AS occ FROM g0)"
 E = "e AS (SELECT DISTINCT src, dest FROM g), v AS (SELECT src AS id FROM g UNION SELECT dest FROM g)"
@@ -28,19 +27,32 @@ RW = "0.1::DOUBLE * likes + 0.5::DOUBLE * shares + 0.8::DOUBLE * comments"
 CW = "0.02::DOUBLE * likes + 0.03::DOUBLE * shares + 0.05::DOUBLE * comments"
 
 
+ZONES = "z(root, node, dist) USING KEY (root, node) AS (SELECT id, id, CAST(0 AS BIGINT) FROM v{} UNION SELECT z.root, e.dest, min(z.dist + 1) FROM z JOIN e ON e.src = z.node LEFT JOIN recurring.z AS o ON o.root = z.root AND o.node = e.dest WHERE o.root IS NULL GROUP BY z.root, e.dest)"
+
+
 def _sub(w: str) -> str:
     return f"""sub AS (SELECT DISTINCT part, src, dest, likes, shares, comments, occ, {w} AS w FROM
   (SELECT CAST(src % 3 AS INTEGER) AS part, * FROM g UNION ALL SELECT CAST(dest % 3 AS INTEGER) AS part, * FROM g))"""
 
 
-def _ranks(steps: int = 5) -> str:
-    out = """nd AS (SELECT part, src AS id, count(*) OVER (PARTITION BY part) AS n FROM (SELECT DISTINCT part, src FROM sub)),
+#: Vertices, edges between sources, and out-weights of every part.
+_NODES = """nd AS (SELECT part, src AS id, count(*) OVER (PARTITION BY part) AS n FROM (SELECT DISTINCT part, src FROM sub)),
 eff AS (SELECT s.* FROM sub s JOIN nd ON nd.part = s.part AND nd.id = s.dest),
 ow AS (SELECT part, src, sum(w) AS out_w FROM eff GROUP BY part, src), p0 AS (SELECT part, id, n, 1.0::DOUBLE / n AS pr FROM nd)"""
+#: PageRank until a part's summed change is below 1e-4, 100 steps at most.
+CONVERGED = """it(step, part, id, n, pr, moved) AS (SELECT 0, part, id, n, pr, 1e9::DOUBLE FROM p0 UNION ALL
+  SELECT step + 1, part, id, n, new, sum(abs(new - pr)) OVER (PARTITION BY part) FROM (SELECT i.step, i.part, i.id, i.n, i.pr, 0.15::DOUBLE / i.n + 0.85::DOUBLE * coalesce(x.got, 0.0) AS new
+    FROM it i LEFT JOIN (SELECT eff.part, eff.dest, sum(q.pr * eff.w / out_w) AS got FROM eff JOIN ow ON ow.part = eff.part AND ow.src = eff.src JOIN it q ON q.part = eff.part AND q.id = eff.src WHERE out_w > 0 GROUP BY eff.part, eff.dest) x
+    ON x.part = i.part AND x.dest = i.id WHERE i.moved >= 1e-4 AND i.step < 100)),
+fin AS (SELECT * FROM it QUALIFY step = max(step) OVER (PARTITION BY part))"""
+
+
+def _ranks(steps: int = 5, own: str = "id % 3 = part") -> str:
+    out = _NODES
     for i in range(1, steps + 1):
         out += f""", p{i} AS (SELECT nd.part, nd.id, nd.n, 0.15::DOUBLE / nd.n + 0.85::DOUBLE * coalesce(x.got, 0.0) AS pr FROM nd LEFT JOIN
   (SELECT eff.part, eff.dest, sum(q.pr * eff.w / out_w) AS got FROM eff JOIN ow ON ow.part = eff.part AND ow.src = eff.src JOIN p{i - 1} q ON q.part = eff.part AND q.id = eff.src WHERE out_w > 0 GROUP BY eff.part, eff.dest) x ON x.part = nd.part AND x.dest = nd.id)"""
-    return out + """, top AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY round(pr, 10) DESC, id) AS pos, id, pr FROM p5 WHERE id % 3 = part)"""
+    return out + """, top AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY round(pr, 10) DESC, id) AS pos, id, pr FROM p5 WHERE """ + own + ")"
 
 
 GREEDY = """e0 AS (SELECT DISTINCT src, dest FROM sub WHERE part = 0), pool AS (SELECT id, min((part, pos)) AS place FROM top WHERE pos <= 5 GROUP BY id),
@@ -70,10 +82,11 @@ _pow = (*_base, DEG, IDX, REACH, POWER)
 _pr = (TRADE, _sub(RW), _ranks())
 _pr_cast = (TRADE, _sub(CW), _ranks())
 SQL = {
-    "scan_edgelist": _q("SELECT src, dest, likes, shares, comments FROM ok ORDER BY n LIMIT 1000", LINK, LINES),
-    "scan_edgelist_weighted": _q(f"SELECT DISTINCT ON (src, dest, likes, shares, comments, occ) CAST(0 AS INTEGER) AS part, src, dest, round({RW}, 8) AS w FROM ok WHERE src % 3 = 0 OR dest % 3 = 0", LINK, LINES),
+    "scan_edgelist": _q("SELECT src, dest, likes, shares, comments FROM ok ORDER BY n LIMIT 250000", LINK, LINES),
+    "scan_edgelist_weighted": _q(f"SELECT DISTINCT ON (part, src, dest, likes, shares, comments, occ) part, src, dest, round({RW}, 8) AS w FROM (SELECT CAST(src % 3 AS INTEGER) AS part, * FROM ok UNION ALL SELECT CAST(dest % 3 AS INTEGER) AS part, * FROM ok)", LINK, LINES),
     "scan_triples": _q("SELECT src, dest, CAST(likes AS DOUBLE) AS w FROM g WHERE src % 5 <> 0", LINK),
     "scan_metis": _q("SELECT src, dest FROM g WHERE src <> dest UNION SELECT dest, src FROM g WHERE src <> dest", LINK),
+    "metis_header": _q("SELECT (SELECT max(id) + 1 FROM v) AS n_vertices, count(*) AS n_edges, (SELECT max(id) + 1 FROM v) AS n_lines, 2 * count(*) AS degrees, true AS consistent FROM (SELECT DISTINCT least(src, dest) AS a, greatest(src, dest) AS b FROM g WHERE src <> dest)", *_base),
     "scan_partitions": _q("SELECT CAST(id % 3 AS INTEGER) AS part, id AS node FROM v", *_base),
     "edge_filter_valid": _q("SELECT src - 100 AS src, dest, likes, shares, comments, occ FROM g WHERE src >= 100", LINK),
     "edge_quality": _q("SELECT count(*) AS n_edges, count(*) FILTER (src < 100) AS n_bad_ids, count(*) FILTER (likes < 1) AS n_negative, count(*) FILTER (src - 100 = dest) AS n_loops FROM g", LINK),
@@ -90,8 +103,8 @@ SQL = {
     "ghost_nodes": _q("SELECT DISTINCT part, node FROM (SELECT part, src AS node FROM sub UNION SELECT part, dest FROM sub) WHERE node % 3 <> part", TRADE, _sub(RW)),
     "subgraph_stats": _q("SELECT s.part, n_edges, coalesce(n_ghosts, 0) AS n_ghosts FROM (SELECT part, count(*) AS n_edges FROM sub GROUP BY part) s LEFT JOIN (SELECT part, count(DISTINCT node) AS n_ghosts FROM (SELECT part, src AS node FROM sub UNION SELECT part, dest FROM sub) WHERE node % 3 <> part GROUP BY part) USING (part)", TRADE, _sub(RW)),
     "reachability": _q("SELECT a AS root, b AS node FROM r", *_base, REACH),
-    "bfs_zone": _q("SELECT root, node, min(dist) AS dist FROM z GROUP BY root, node", *_base, "z(root, node, dist) AS (SELECT id, id, CAST(0 AS BIGINT) FROM v WHERE id < 5 UNION SELECT z.root, e.dest, dist + 1 FROM z JOIN e ON e.src = z.node WHERE dist < 120)"),
-    "bfs_info": _q("SELECT root, count(*) AS size, round(CAST(sum(dist) AS DOUBLE) / count(*), 8) AS avg_dist FROM z GROUP BY root", *_base, "z(root, node, dist) USING KEY (root, node) AS (SELECT id, id, CAST(0 AS BIGINT) FROM v UNION SELECT z.root, e.dest, min(z.dist + 1) FROM z JOIN e ON e.src = z.node LEFT JOIN recurring.z AS o ON o.root = z.root AND o.node = e.dest WHERE o.root IS NULL GROUP BY z.root, e.dest)"),
+    "bfs_zone": _q("SELECT root, node, dist FROM z", *_base, ZONES.format(" WHERE id % 20 = 0")),
+    "bfs_info": _q("SELECT root, count(*) AS size, round(CAST(sum(dist) AS DOUBLE) / count(*), 8) AS avg_dist FROM z GROUP BY root", *_base, ZONES.format("")),
     "scc": _q("SELECT * FROM comp", *_base, REACH, SCC),
     "scc_dense": _q("SELECT d.id, coalesce(scc, d.id) AS scc FROM (SELECT unnest(range((SELECT max(id) + 1 FROM v))) AS id) d LEFT JOIN comp ON comp.id = d.id", *_base, REACH, SCC),
     "scc_types": _q("SELECT id, scc, CASE WHEN count(*) OVER (PARTITION BY scc) > 1 THEN 's' ELSE 'c' END AS type FROM comp", *_base, REACH, SCC),
@@ -112,18 +125,21 @@ SQL = {
     "pr_effective_edges": _q("SELECT part, src, dest, occ, round(w, 8) AS w FROM eff", *_pr),
     "out_weight": _q("SELECT part, src, round(out_w, 8) AS out_w FROM ow", *_pr),
     "local_pagerank": _q("SELECT part, id, round(pr, 8) AS pr FROM p5", *_pr),
+    "pagerank_converged": _q("SELECT part, id, round(pr, 7) AS pr FROM fin", TRADE, _sub(RW), _NODES, CONVERGED),
+    "pagerank_convergence": _q("SELECT part, count(*) AS n_nodes, CAST(max(step) AS INTEGER) AS n_steps, max(moved) < 1e-4 AS converged FROM fin GROUP BY part", TRADE, _sub(RW), _NODES, CONVERGED),
     "local_pagerank_topk": _q("SELECT part, CAST(pos AS INTEGER) AS pos, id, round(pr, 8) AS pr FROM top WHERE pos <= 5", *_pr),
     "candidate_pool": _q("SELECT part, CAST(pos AS INTEGER) AS pos, id FROM top WHERE pos <= 3", *_pr),
     "greedy_seeds": _q("SELECT CAST(pos AS INTEGER) AS pos, id, spread FROM best", *_pr, GREEDY),
     "ic_live_edges": _q("SELECT CAST(trial AS INTEGER) AS trial, count(*) AS n_live FROM coins WHERE u < w GROUP BY trial", TRADE, IC),
     "ic_spread": _q("SELECT * FROM act", TRADE, IC, IC_RUN),
     "ic_total": _q("SELECT CAST(sum(active) AS BIGINT) AS total, CAST(sum(active) AS DOUBLE) / 20 AS mean_spread FROM act", TRADE, IC, IC_RUN),
-    "pipeline_report": _q("SELECT CAST(pos AS INTEGER) AS pos, id, spread, t.* FROM best, (SELECT count(*) AS total, count(*) / 20.0::DOUBLE AS mean_spread FROM a) t", *_pr_cast, GREEDY, _live("sub", "part"), "a(trial, part, node) AS (SELECT trial, part, id FROM best, (SELECT unnest(range(20)) AS trial), (SELECT unnest(range(3)) AS part) UNION SELECT a.trial, a.part, live.dest FROM a JOIN live ON live.trial = a.trial AND live.part = a.part AND live.src = a.node)"),
 }
+_ACTIVE = "a(trial, part, node) AS (SELECT trial, part, id FROM best, (SELECT unnest(range(20)) AS trial), (SELECT unnest(range({})) AS part) UNION SELECT a.trial, a.part, live.dest FROM a JOIN live ON live.trial = a.trial AND live.part = a.part AND live.src = a.node)"
+_TOTAL = "SELECT CAST(pos AS INTEGER) AS pos, id, spread, t.* FROM best, (SELECT count(*) AS total, count(*) / 20.0::DOUBLE AS mean_spread FROM a) t"
+SQL["pipeline_report"] = _q(_TOTAL, *_pr_cast, GREEDY, _live("sub", "part"), _ACTIVE.format(3))
+SQL["pipeline_report_global"] = _q(_TOTAL, TRADE, f"sub AS (SELECT CAST(0 AS INTEGER) AS part, *, {CW} AS w FROM g)", _ranks(own="true"), GREEDY, _live("sub", "part"), _ACTIVE.format(1))
 _s = "SELECT r.a AS id, sum(0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * s) AS gone FROM r JOIN own ON own.id = r.b WHERE r.b IN (SELECT id FROM {0}) GROUP BY r.a"
 _pick = "{1} AS (SELECT * FROM {0} UNION ALL SELECT * FROM (SELECT {2} AS pos, c.id FROM cand c LEFT JOIN (" + _s + ") x ON x.id = c.id WHERE c.id NOT IN (SELECT id FROM {0}) ORDER BY round(power - coalesce(gone, 0.0) - idx * 1e-9::DOUBLE, 10), idx LIMIT 1))"
-SQL["seed_select"] = _q("SELECT CAST(pos AS INTEGER) AS pos, id FROM s3", *_pow, "s0 AS (SELECT 0 AS pos, id FROM cand WHERE false)", *[_pick.format(f"s{i}", f"s{i + 1}", i + 1) for i in range(3)])
-LINK_WHOLE = LINK.replace(" WHERE o_orderkey % 8 = 0", "")
-TRADE_WHOLE = TRADE.replace("\n  WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-04-01'", "")
-SQL |= {f"{name}_whole": sql.replace(LINK, LINK_WHOLE).replace(TRADE, TRADE_WHOLE) for name, sql in SQL.items() if LINK in sql or TRADE in sql}
-SQL["scan_edgelist_whole"] = SQL["scan_edgelist_whole"].replace("LIMIT 1000", "LIMIT 250000")
+_PICKED = ("SELECT CAST(pos AS INTEGER) AS pos, id FROM s3", "s0 AS (SELECT 0 AS pos, id FROM cand WHERE false)", *[_pick.format(f"s{i}", f"s{i + 1}", i + 1) for i in range(3)])
+SQL["seed_select"] = _q(_PICKED[0], *_pow, *_PICKED[1:])
+SQL["influential"] = _q(_PICKED[0], DENSE, *_pow[1:], *_PICKED[1:])

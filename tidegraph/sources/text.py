@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,17 +63,43 @@ def parse_parts(lines: DataFrame, name: str = "file") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, n (from 0 in file order) and file."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("m"))
-    return raw.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("m")) - 1).drop("m")
+    """value, n (from 0 in file order) and file: counted by blocks of files first, so that a file's lines needn't meet in one task."""
+    raw = lines_of(spark, path, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"))
+    first = sizes.select("file", "block", (F.sum("lines").over(Window.partitionBy("file").orderBy("block")) - F.col("lines")).alias("first"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("m"))
+    return raw.withColumn("own", own).join(first, ["file", "block"]).select("value", (F.col("first") + F.col("own") - 1).alias("n"), "file")
+
+
+def lines_of(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """value and file of all lines under path; a path that isn't there is an error, which names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    if found is None or not len(found):
+        raise FileNotFoundError(f"nothing at {path}")
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *more)
 
 
 def read_edges(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    return parse_edges(numbered_lines(spark, path), cap) if cap is not None else parse_edges(spark.read.text(path))
+    """The valid lines; none, if there are none."""
+    return parse_edges(numbered_lines(spark, path), cap) if cap is not None else parse_edges(lines_of(spark, path))
+
+
+def read_metis(spark: SparkSession, path: str) -> DataFrame:
+    """A METIS graph as (src, dest). A file without a header, or with fewer lines than it says, is an error; a wrong number of edges a warning."""
+    lines = numbered_lines(spark, path)
+    head = check_metis(lines).first()
+    if head is None or head["n_vertices"] is None or head["n_edges"] is None:
+        raise ValueError(f"no header `vertices edges` in {path}")
+    if head["n_lines"] < head["n_vertices"]:
+        raise ValueError(f"{path} has {head['n_lines']} adjacency lines for {head['n_vertices']} vertices")
+    if not head["consistent"]:
+        warnings.warn(f"{path}: {2 * head['n_edges']} ends expected, {head['degrees']} found", stacklevel=2)
+    return parse_metis(lines.filter(F.col("n") <= head["n_vertices"]))
 
 
 def read_parts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    out = parse_parts(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+    out = parse_parts(lines_of(spark, path))
     if strict and out.isEmpty():
         raise ValueError(f"no partition members under {path}")
     return out
