@@ -46,10 +46,13 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, all copyright and related or neighboring rights are waived. CC0 1.0 Universal public domain dedication.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
 }
 _GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
@@ -59,14 +62,17 @@ for _name, _more in {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL-2.0": _GNU.format("program", "", 2),
     "GPL-3.0": _GNU.format("program", "", 3),
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1": _GNU.format("library", "Lesser ", "2.1"),
     "LGPL-3.0": _GNU.format("library", "Lesser ", 3),
     "MIT-text": _MIT[: _MIT.index("The above")].strip() + "\n" + _MIT[_MIT.index("THE SOFTWARE") :],
 }.items():
-    TEMPLATES[_name] += "\n" + _more
+    TEMPLATES[_name] = f"{TEMPLATES[_name]}\n{_more}"
 #: Names and first lines, which count only word for word, and only in a text without a header.
 TITLES = {
     "AGPL-3.0": ("GNU Affero General Public License Version 3", "SPDX-License-Identifier: AGPL-3.0"),
     "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", "License: BSD-2-Clause"),
     "BSD-3-Clause": ("BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD-3-Clause"),
     "CC-BY-4.0": ("Creative Commons Attribution 4.0 International", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International", "SPDX-License-Identifier: CC-BY-NC-4.0"),
@@ -74,10 +80,13 @@ TITLES = {
     "CC0-1.0": ("CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
     "GPL-2.0": ("GNU General Public License Version 2", "SPDX-License-Identifier: GPL-2.0", "License: GPL-2.0"),
     "GPL-3.0": ("GNU General Public License Version 3", "SPDX-License-Identifier: GPL-3.0", "License: GPL-3.0"),
+    "ISC": ("ISC License", "SPDX-License-Identifier: ISC", "License: ISC"),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1", "SPDX-License-Identifier: LGPL-2.1"),
     "LGPL-3.0": ("GNU Lesser General Public License Version 3", "SPDX-License-Identifier: LGPL-3.0"),
     "MIT": ("MIT License", "License: MIT", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0", "License: MPL-2.0"),
     "Proprietary": ("All rights reserved",),
+    "Unlicense": ("The Unlicense", "SPDX-License-Identifier: Unlicense"),
 }
 _TERM = re.compile(r"[a-z0-9]+")
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
