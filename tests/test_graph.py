@@ -124,8 +124,9 @@ def test_greedy_is_stable_top_k(spark, toy):
     assert [(r.id, r.spread) for r in cascade.greedy(toy, pool, 4).orderBy("pos").collect()] == [(1, 7), (2, 7), (4, 4), (77, 1)]
 
 
-def test_kway(spark, toy):
-    parts = S.kway(toy, 2).collect()
+@pytest.mark.parametrize("max_edges", [K.MAX_EDGES, 1])  # by levels in a task, and by swaps
+def test_kway(spark, toy, max_edges):
+    parts = S.kway(toy, 2, max_edges=max_edges).collect()
     assert sorted(r.node for r in parts) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12]
     sizes = np.bincount([r.part for r in parts])
     assert len(sizes) == 2 and sizes.max() <= 6
@@ -187,6 +188,25 @@ def test_places(spark):
     assert [(r.a, r.s, r.place) for r in got] == [(r.a, r.s, i) for i, r in enumerate(want)]
 
 
+def test_split_by_levels():
+    """Grids and hidden groups: parts within the limit, cuts below those of ranges and near what is known to be possible."""
+    from tidegraph.operators import multilevel as M
+
+    rng = np.random.default_rng(3)
+    at = np.arange(2500).reshape(50, 50)
+    grid = rng.permutation(2500)[np.stack([np.concatenate([at[:, :-1].ravel(), at[:-1].ravel()]), np.concatenate([at[:, 1:].ravel(), at[1:].ravel()])])]
+    group = rng.integers(0, 3, 2500)
+    links = np.array([(x, y) for x, y in rng.integers(0, 2500, (40_000, 2)) if x < y and (group[x] == group[y] or rng.random() < 0.1)])
+    for a, b, k, known in ((*np.sort(grid, axis=0), 2, 50), (*np.unique(links, axis=0).T, 3, None)):
+        one = np.ones(len(a), np.int64)
+        part = M.split(2500, a, b, k)
+        ranges, cut = M.laid_out(np.arange(2500), np.ones(2500, np.int64), k), M.cut_of(part, a, b, one)
+        assert np.bincount(part, minlength=k).max() <= np.ceil(2500 * 1.03 / k) and cut <= M.cut_of(ranges, a, b, one)
+        assert cut <= (2.5 * known if known else 1.1 * M.cut_of(group, a, b, one))
+    none = np.zeros(0, np.int64)
+    assert M.split(0, none, none, 3).tolist() == [] and sorted(np.bincount(M.split(7, none, none, 3), minlength=3)) == [2, 2, 3]
+
+
 def test_kway_cut(spark):
     """Two cliques, split by id modulo 3: the split's cut is counted, and is below the start's."""
     from tidegraph.plans import queries as Q
