@@ -178,6 +178,20 @@ def test_files(spark, tmp_path):
     assert T.read_edges(spark, str(tmp_path / "none.txt")).count() == 0
 
 
+def test_metrics(spark, toy, tmp_path):
+    from pyspark.sql import Observation
+
+    from tidegraph.plans.pipelines import spread_metrics
+
+    (tmp_path / "e.txt").write_text(TOY)
+    seen = Observation("edges")
+    T.read_edges(spark, str(tmp_path / "e.txt"), seen=seen).collect()
+    assert seen.get == {"n_edges": 15}
+    parts = E.vertices(toy).select((F.col("id") > 6).cast("int").alias("part"), F.col("id").alias("node")).unionByName(spark.createDataFrame([(2, 70)], "part int, node long"))
+    got = {r.part: tuple(r)[1:] for r in spread_metrics(toy, parts, Weights(), RankOptions(max_iter=2)).collect()}
+    assert got[2] == (0, 0, 0, 0, False) and got[0][:2] == (10, 1) and got[0][3:] == (2, False) and got[1][0] == 5
+
+
 def test_places(spark):
     from tidegraph.functions.ranks import placed
     from tidegraph.operators.iterate import checkpointed

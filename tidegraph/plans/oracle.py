@@ -127,6 +127,7 @@ SQL = {
     "local_pagerank": _q("SELECT part, id, round(pr, 8) AS pr FROM p5", *_pr),
     "pagerank_converged": _q("SELECT part, id, round(pr, 7) AS pr FROM fin", TRADE, _sub(RW), _NODES, CONVERGED),
     "pagerank_convergence": _q("SELECT part, count(*) AS n_nodes, CAST(max(step) AS INTEGER) AS n_steps, max(moved) < 1e-4 AS converged FROM fin GROUP BY part", TRADE, _sub(RW), _NODES, CONVERGED),
+    "run_metrics": _q("SELECT part, n_edges, n_ghosts, n_ranked, n_steps, converged FROM (SELECT part, count(*) AS n_edges FROM sub GROUP BY part) JOIN (SELECT part, count(DISTINCT node) AS n_ghosts FROM (SELECT part, src AS node FROM sub UNION SELECT part, dest FROM sub) WHERE node % 3 <> part GROUP BY part) USING (part) JOIN (SELECT part, count(*) AS n_ranked, CAST(max(step) AS INTEGER) AS n_steps, max(moved) < 1e-4 AS converged FROM fin GROUP BY part) USING (part)", TRADE, _sub(RW), _NODES, CONVERGED),
     "local_pagerank_topk": _q("SELECT part, CAST(pos AS INTEGER) AS pos, id, round(pr, 8) AS pr FROM top WHERE pos <= 5", *_pr),
     "candidate_pool": _q("SELECT part, CAST(pos AS INTEGER) AS pos, id FROM top WHERE pos <= 3", *_pr),
     "greedy_seeds": _q("SELECT CAST(pos AS INTEGER) AS pos, id, spread FROM best", *_pr, GREEDY),

@@ -27,6 +27,14 @@ def candidate_pool(sub: DataFrame, parts: DataFrame, k: int, rank: RankOptions)
     return pagerank.top(pagerank.pagerank(sub, rank), parts, k)
 
 
+def spread_metrics(edges: DataFrame, parts: DataFrame, weights: Weights, rank: RankOptions) -> DataFrame:
+    """What a run over split parts reports of each: n_edges kept, n_ghosts, n_ranked vertices, PageRank's n_steps and whether it converged. A part without edges has nothing to rank."""
+    sub = checkpointed(E.subgraph(E.weighted(edges, weights), parts))
+    every = parts.select("part").distinct().join(E.subgraph_stats(sub, parts), "part", "left").fillna(0)
+    ended = pagerank.convergence(sub, rank).withColumnRenamed("n_nodes", "n_ranked")
+    return every.join(ended, "part", "left").fillna(0, ["n_ranked", "n_steps"]).fillna(False, ["converged"])
+
+
 def spread_seeds(edges: DataFrame, parts: DataFrame, weights: Weights, rank: RankOptions, spread: SpreadOptions) -> tuple[DataFrame, DataFrame]:
     """Seeds (pos, id, spread) and one row total, mean_spread. Scope `partition`: seeds are compared on the first part's edges, and spread in each
     part counts its seeds anew; `global`: both on the whole graph."""

@@ -198,6 +198,7 @@ QUERIES = {
     "ic_live_edges": _ic_query(lambda sub, g, parts: cascade.live_edges(sub, TRIALS, SEED).groupBy("trial").agg(F.count(F.lit(1)).alias("n_live"))),
     "ic_spread": _ic_query(lambda sub, g, parts: _ic(sub, g, parts)),
     "ic_total": _ic_query(lambda sub, g, parts: cascade.total(_ic(sub, g, parts), TRIALS)),
+    "run_metrics": _trade(lambda g: pipelines.spread_metrics(g, recipes.thirds(g), RANK, RankOptions())),
     "pipeline_report": _report("partition"),
     "pipeline_report_global": _report("global"),
 }

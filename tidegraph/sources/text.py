@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import weight
@@ -80,9 +80,10 @@ def lines_of(spark: SparkSession, path: str, *more: Column) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *more)
 
 
-def read_edges(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """The valid lines; none, if there are none."""
-    return parse_edges(numbered_lines(spark, path), cap) if cap is not None else parse_edges(lines_of(spark, path))
+def read_edges(spark: SparkSession, path: str, cap: int | None = None, seen: Observation | None = None) -> DataFrame:
+    """The valid lines; none, if there are none. seen gets their number, n_edges, once an action has run."""
+    out = parse_edges(numbered_lines(spark, path), cap) if cap is not None else parse_edges(lines_of(spark, path))
+    return out.observe(seen, F.count(F.lit(1)).alias("n_edges")) if seen is not None else out
 
 
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
