@@ -1,10 +1,12 @@
 """Whole Arrow batches of texts as byte arrays: words, their 64-bit hashes and word shingles, by NumPy and without a Python loop per word.
 
-A word's hash is a polynomial over its bytes, mapped through a table of random 64-bit numbers, modulo 2**64, finished by a mixing
-step; equal words have equal hashes, and different ones collide with a probability of about 2**-64 a pair."""
+A word's hash takes in 8 bytes a step, and mixes all bits after each. Unlike a polynomial modulo 2**64, for which whole families of
+words are known that collide whatever its base, it has no algebra that bytes could cancel out in; two words' hashes are taken for equal
+by chance with a probability of about 2**-64."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +15,13 @@ import pyarrow.compute as pc
 
 CHUNK = 2_000_000
 _rng = np.random.default_rng(20240607)
-TABLE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True)
+SEED = np.uint64(_rng.integers(1, 2**64 - 1, dtype=np.uint64, endpoint=True))
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
+LONG = 512
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,16 +30,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1), modulo 2**64; kept, as it grows."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        out = np.full(max(n, 2 * len(held) if held is not None else 0, 1 << 19), base, dtype=np.uint64)
-        out[0] = 1
-        held = _powers[base] = np.multiply.accumulate(out)
-    return held[:n]
-
-
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """From an Arrow string array: pieces of whole texts of about `size` bytes, as first row, end row, bytes, and offsets of rows in them. Null: empty."""
     texts = pc.fill_null(texts, "")
@@ -68,23 +59,38 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    out = np.empty(len(data) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(TABLE[data] * powers(BASE, len(data)), out=out[1:])
-    return out
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a number, zeros after the end: a view, without a copy for each place."""
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte strings between starts and ends."""
-    return mixed((prefix[ends] - prefix[starts]) * powers(BASE_INV, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+#: For a last step of 0 to 8 bytes: which bits of the number are its bytes, and what marks its length in the top byte. With the mark that byte is none that UTF-8 has.
+_BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_MARK = np.array([(0xF8 ^ k) << 56 for k in range(8)] + [0], dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings between starts and ends: 8 bytes at a time, each step mixed with all before it; different UTF-8 strings of 8 bytes at
+    most have different ones. Of strings over LONG bytes by BLAKE2."""
+    size, eight = ends - starts, blocks_of(data)
+    left = np.minimum(size, 8)
+    out = mixed((eight[starts] & _BITS[left]) ^ _MARK[left] ^ SEED)
+    at, open_ = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(open_):
+        left = np.minimum(size[open_] - at, 8)
+        out[open_] = mixed((out[open_] ^ (eight[starts[open_] + at] & _BITS[left]) ^ _MARK[left]) * np.uint64(BASE) + SEED)
+        at += 8
+        open_ = open_[size[open_] > at]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "big")
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Each word's hash (A-Z lower-cased on request) and text."""
     data = LOWER[data] if lower else data
     starts, ends, row = word_bounds(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), row
+    return span_hashes(data, starts, ends), row
 
 
 _PLACE = _rng.integers(1, 2**64 - 1, 64, dtype=np.uint64, endpoint=True) | np.uint64(1)
