@@ -91,7 +91,7 @@ def is_contaminated(n_hit: Column, n_words: Column, share_of: int = 20) -> Colum
 def remove_documents(docs: DataFrame, bench: DataFrame, share_of: int = 20, **options) -> DataFrame:
     """docs without the contaminated rows, columns as they were. Only hashes of texts and counts are gathered, and whole rows are shuffled only if very many
     different texts go (`beside`)."""
-    text = F.col(f"`{options.get('text_col', 'text')}`")
+    text = docs[f"`{options.get('text_col', 'text')}`"]
     key = F.unhex(F.sha2(text, 256))  # equal texts are judged alike
     found = contamination(docs.select(key.alias("key"), text.alias("text")), bench, **options | {"carry": ["key"], "text_col": "text"})
     gone = written(found.filter(is_contaminated(F.col("n_hit"), F.col("n_words"), share_of)).select("doc.key").distinct())

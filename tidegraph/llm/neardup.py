@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the smallest id (null ids last; of equal ids, any one of those whose text has the least hash), columns as they were."""
-    id_, th = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    judged = _judged(docs.select(id_.alias("id"), th.alias("th"), F.col(f"`{text_col}`").alias("text")), threshold)
+    id_, text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]  # of these docs, whatever other columns are called
+    th = F.xxhash64(text)
+    judged = _judged(docs.select(id_.alias("id"), th.alias("th"), text.alias("text")), threshold)
     stays = F.col("rep").isNull() | (F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("th") == F.col("rep.th")))
     gone = written(judged.filter(~stays).select("id", "th").distinct())
     on = lambda few: id_.eqNullSafe(few["id"]) & (th == few["th"])
@@ -241,8 +242,8 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
     twice = written(judged.filter(stays & F.col("rep").isNotNull()).groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "th"))
     if twice.isEmpty():
         return left
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    one = beside(left, twice, on(twice), "inner").groupBy(twice["id"], twice["th"]).agg(F.first(row).alias("row")).select("row.*")
+    some = beside(left, twice, on(twice), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), th.alias("th"))
+    one = some.groupBy("id", "th").agg(F.first("row").alias("row")).select("row.*")
     return beside(left, twice, on(twice), "left_anti").unionByName(one)
 
 
