@@ -3,13 +3,14 @@
 Texts are lower-cased, runs of other characters than letters become one boundary, and 1- to 3-grams are counted. A language's
 profile is its TOP most frequent n-grams in order, over all training texts; a text's language is that whose profile has the least
 out-of-place distance to the text's own TOP, an absent n-gram being TOP places off. Training counts are summed within each task
-and then by key, so a hot language costs its distinct n-grams only; TOP rows a language come to the driver (at most LANGUAGES languages, beyond
-which it raises an error).
+and then by key, so a hot language costs its distinct n-grams only. Profiles come to the driver, TOP rows a language, for LANGUAGES languages
+at a time, and go to the workers; with more languages, texts are compared block by block, each keeping the best so far.
 
 Score: 1 - distance / (TOP x number of the text's n-grams compared).
 
 Cases: a null text, or one without letters, is `und` with score 0; so is every text if nothing was learned; ties go to the first
-language by code point; a null id counts as the empty text in the split; repeated rows are predicted each.
+language by code point; a null id counts as the empty text in the split; repeated rows are predicted each; carried columns named
+lang_pred or score are replaced by those.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import table, written
 
-TOP, LANGUAGES = 400, 5000
+TOP, LANGUAGES = 400, 200
 _EDGE = np.uint32(1)
 _letters: list[np.ndarray] = []
 
@@ -83,23 +84,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> dict[str, np.ndarray]:
-    """Language -> its most frequent n-grams, most frequent first, from all rows that have a text and a language."""
+def learned(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> DataFrame:
+    """lang, gram and place (from 1): each language's most frequent n-grams, from all rows that have a text and a language; written."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sums = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = sums.withColumn("place", place).filter(F.col("place") <= top).select("lang", "gram", "place")
-    found = best.limit(top * LANGUAGES + 1).toPandas()
-    if len(found) > top * LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
-    return {lang: part.sort_values("place").gram.to_numpy() for lang, part in sorted(found.groupby("lang"))}
+    return written(sums.withColumn("place", place).filter(F.col("place") <= top).select("lang", "gram", "place"))
+
+
+def blocks(rows: DataFrame, languages: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """What `learned` gave, as language -> n-grams in order, for so many languages at a time, by code point."""
+    after = F.lit(True)
+    while True:
+        names = [r.lang for r in rows.filter(after).select("lang").distinct().orderBy("lang").limit(languages or LANGUAGES).collect()]
+        if not names:
+            return
+        found = rows.filter(after & (F.col("lang") <= names[-1])).toPandas()
+        yield {lang: part.sort_values("place").gram.to_numpy() for lang, part in sorted(found.groupby("lang"))}
+        after = F.col("lang") > names[-1]
+
+
+def profiles(docs: DataFrame, **options) -> dict[str, np.ndarray]:
+    """Language -> its most frequent n-grams, most frequent first: for a number of languages that the driver holds."""
+    return {k: v for of in blocks(learned(docs, **options)) for k, v in of.items()}
 
 
 class Profiles:
     def __init__(self, of: dict[str, np.ndarray], top: int = TOP):
         self.langs, self.top = list(of), top
         self.grams = np.unique(np.concatenate([*of.values(), np.zeros(0, np.int64)]))
-        self.places = np.full((len(of), len(self.grams) + 1), -1, dtype=np.int64)
+        self.places = np.full((len(of), len(self.grams) + 1), -1, dtype=np.int32)
         for i, grams in enumerate(of.values()):
             self.places[i, np.searchsorted(self.grams, grams)] = np.arange(len(grams))
 
@@ -116,18 +130,31 @@ class Profiles:
         return self.langs[best], 1.0 - float(off[best]) / (self.top * len(own))
 
 
-def predict(docs: DataFrame, of: dict[str, np.ndarray], keep: list[str | Column], text_col: str = "text") -> DataFrame:
-    """keep's columns, lang_pred and score; nothing but the text is looked at."""
-    held = docs.sparkSession.sparkContext.broadcast(Profiles(of))
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            said = [held.value.predict(t) for at in range(0, len(texts), 200) for t in texts.slice(at, 200).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=["row", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+def predict(docs: DataFrame, of: dict[str, np.ndarray] | DataFrame, keep: list[str | Column], text_col: str = "text") -> DataFrame:
+    """keep's columns, lang_pred and score; nothing but the text is looked at. of: profiles, or what `learned` gave."""
+    if isinstance(of, dict):
+        names = sorted(of)
+        given: Iterator[dict] = ({k: of[k] for k in names[at : at + LANGUAGES]} for at in range(0, len(names), LANGUAGES))
+    else:
+        given = blocks(of)
+    keep = [c for c in keep if not isinstance(c, str) or c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    part = next(given, None)
+    while part is not None:
+        held, part = docs.sparkSession.sparkContext.broadcast(Profiles(part)), next(given, None)
+        rest = [] if part is None else ["text"]  # for the next block
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, rest=rest) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text")
+                said = (held.value.predict(t) for at in range(0, len(texts), 200) for t in texts.slice(at, 200).to_pylist())
+                before = zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist(), strict=True)
+                best = [(new, s) if old == "und" or s > t else (old, t) for (new, s), (old, t) in zip(said, before, strict=True)]
+                cols = [pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *(batch.column(c) for c in rest), *cols], names=["row", *rest, "lang_pred", "score"])
+
+        rows = rows.mapInArrow(run, rows.select("row", *rest, "lang_pred", "score").schema)
+    return rows.select("row.*", "lang_pred", "score")
 
 
 def split_number(key: Column, parts: int) -> Column:
@@ -137,4 +164,4 @@ def split_number(key: Column, parts: int) -> Column:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = split_number(F.col("doc_id"), 3) == 1
-    return predict(docs, profiles(docs.filter(~held_out)), ["doc_id", held_out.alias("held_out")])
+    return predict(docs, learned(docs.filter(~held_out)), ["doc_id", held_out.alias("held_out")])
