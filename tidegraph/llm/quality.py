@@ -125,7 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: Column | None = None, id_
 
     labels: (id, quality 0 or 1). Counts are written once, so texts are read once."""
     stratum = F.col("lang") if stratum is None else stratum
-    carry = [F.col(id_col).alias("id"), F.coalesce(stratum.cast("string"), F.lit("")).alias("stratum")]
+    carry = [F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("null")).alias("stratum")]
     if keep_row:
         carry.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = written(features(docs, carry, text_col).withColumn("base_failed", base_failed()))
@@ -154,7 +154,7 @@ def _sql(alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> str
     cuts = ", ".join(f"('{name}', CAST({c} AS DOUBLE))" for name, (_, values) in rules.items() for c in values)
     p = f"CAST({alpha / len(rules)!r} AS DOUBLE)"
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
 dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),

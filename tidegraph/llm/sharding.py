@@ -83,8 +83,10 @@ def numbered(docs: DataFrame, carry: Sequence[str], text_col: str = "text") -> t
     per = alike.groupBy("_bucket").agg(F.sum("_n").alias("_all"))  # BUCKETS rows at most
     per = written(per.select(F.col("_bucket").alias("_b"), "_all", (F.sum("_all").over(Window.orderBy("_bucket")) - F.col("_all")).alias("_first")))
     n = per.agg(F.coalesce(F.sum("_all"), F.lit(0))).first()[0]
-    each = F.explode(F.sequence(F.col("_first") + F.col("_end") - F.col("_n"), F.col("_first") + F.col("_end") - 1))
-    return alike.join(F.broadcast(per), F.col("_bucket") == F.col("_b")).select(*[f"`{c}`" for c in own], each.alias("number")), n
+    # Copies are listed in two steps, so that no array grows with them all.
+    from_, step = F.col("_first") + F.col("_end") - F.col("_n"), 1 << 16
+    some = alike.join(F.broadcast(per), F.col("_bucket") == F.col("_b")).select(*[f"`{c}`" for c in own], (F.col("_first") + F.col("_end")).alias("_to"), F.explode(F.sequence(from_, F.col("_first") + F.col("_end") - 1, F.lit(step).cast("bigint"))).alias("_from"))
+    return some.select(*[f"`{c}`" for c in own], F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col("_to")) - 1)).alias("number")), n
 
 
 def sharded(docs: DataFrame, shards: int = 40, seed: int = SEED, carry: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
