@@ -16,7 +16,8 @@ Word counts of the base score are broadcast up to MAX_WORDS distinct words, and
 `adaptive` is the other mode: a text's code length under a trie that starts empty and learns from the text as it goes.
 
 Cases: a null text is the empty one, of one end token; without training texts all words are unknown and all bytes alike; a null id
-counts as the empty text in the split; repeated rows are scored each, and counted each in training.
+counts as the empty text in the split; repeated rows are scored each, and counted each in training; carried columns of the added names
+are replaced by them; a text over CHUNK bytes is looked at in pieces.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ PART = 1_000_000  # strings of a distributed trie in one task
 BLOCK = 32_000_000  # bytes of text whose distinct strings are looked up together
 CHUNK = 400_000  # bytes looked at together
 ROW_BITS = 14  # rows of a batch, beside 6 bytes in a sort key of 63 bits
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 END_WORD = -1  # the end token's key among the words' hashes
 
 
@@ -58,6 +60,18 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np
     return out, row
 
 
+def looked_at(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What `grams` gives for a chunk's texts; for a single very long one, piece by piece."""
+    if len(offsets) > 2 or len(data) <= 2 * CHUNK:
+        yield grams(data, offsets, order)
+        return
+    for at in range(0, len(data), CHUNK):
+        own = data[max(at - order, 0) : at + CHUNK]
+        g, row = grams(own, np.array([0, len(own)]), order)
+        kept = slice(min(at, order), None if at + CHUNK >= len(data) else -1)  # not its first context, nor an end symbol before the end
+        yield g[kept], row[kept]
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
     n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
@@ -87,7 +101,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts += batch.num_rows
         for _, _, data, offsets in V.chunks(batch.column("text"), CHUNK):
             parts[0].append(runs(V.word_hashes(data, offsets)[0].view(np.int64)))
-            parts[1].append(runs(grams(data, offsets)[0]))
+            parts[1].extend(runs(g) for g, _ in looked_at(data, offsets))
             for kind in (0, 1):
                 if sum(len(p[0]) for p in parts[kind]) > 1_000_000:
                     parts[kind] = [merged(parts[kind])]
@@ -230,7 +244,7 @@ def _of_blocks(order: int):
                     yield from flush()
                     now = int(block[a])
                 for _, _, data, offsets in V.chunks(batch.column("text").slice(a, b - a), CHUNK):
-                    parts.append(np.unique(grams(data, offsets)[0] & ((1 << 8 * (order + 1)) - 1)))
+                    parts.extend(np.unique(g & ((1 << 8 * (order + 1)) - 1)) for g, _ in looked_at(data, offsets))
                 if sum(map(len, parts)) > 4_000_000:
                     parts[:] = [np.unique(np.concatenate(parts))]
         yield from flush()
@@ -288,13 +302,14 @@ def score(
         listed, bounds = [], [0]
         for at, end, data, offsets in (c for k in range(0, len(texts), 1 << ROW_BITS) for c in V.chunks(texts.slice(k, 1 << ROW_BITS), CHUNK)):
             rows = end - at
-            g, row = grams(data, offsets)
-            g &= (1 << 8 * (order + 1)) - 1
-            by = np.sort((g << ROW_BITS) | row)
-            g, row = by >> ROW_BITS, by & ((1 << ROW_BITS) - 1)
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            each = np.repeat(log10(g[first]), np.diff(np.append(first, len(g))))
-            made[3].append(np.bincount(row, weights=each, minlength=rows))
+            made[3].append(np.zeros(rows))
+            for g, row in looked_at(data, offsets):
+                g &= (1 << 8 * (order + 1)) - 1
+                by = np.sort((g << ROW_BITS) | row)
+                g, row = by >> ROW_BITS, by & ((1 << ROW_BITS) - 1)
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                each = np.repeat(log10(g[first]), np.diff(np.append(first, len(g))))
+                made[3][-1] += np.bincount(row, weights=each, minlength=rows)
             hashed, row = V.word_hashes(data, offsets)
             hashed = np.concatenate([hashed.view(np.int64), np.full(rows, END_WORD)])
             row = np.concatenate([row, np.arange(rows)])
@@ -341,6 +356,7 @@ def score(
                     log10 = log10 or _known(np.concatenate(keys), np.concatenate(p))
                     yield scored(texts.column("row"), texts.column("text"), log10)
 
+    keep = [c for c in keep if not isinstance(c, str) or c not in ADDED]
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     given = rows.schema["row"].dataType.simpleString()
     kind = f"row {given}, n_tokens long, score double, " + ("n_known long, base_score double" if small else "words array<bigint>")
