@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph.llm import _common as C
 from tidegraph.llm import _vec as V
 from tidegraph.llm import decontaminate as D
 from tidegraph.llm import language, licenses, mixing, neardup, ppm, quality, repeats, sharding, tokens
@@ -110,16 +111,28 @@ def test_near_duplicates(spark, docs, odd, none):
         near.append((1000 + i, " ".join(w)))
     frame = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(near, "doc_id long, text string")).cache()
     rows = frame.collect()
-    want = Counter(brute_components([r.doc_id for r in rows], [r.text for r in rows]))
-    held = neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK
-    for neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK in (held, (8, 1500)):
-        got = neardup.near_duplicates(frame).collect()
+    held = neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK, C.MAX_BROADCAST
+    for threshold, neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK, C.MAX_BROADCAST in ((85, *held), (80, 8, 1500, 3)):
+        want = Counter(brute_components([r.doc_id for r in rows], [r.text for r in rows], threshold))
+        got = neardup.near_duplicates(frame, threshold).collect()
         assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == want
         assert all(r.kept == (r.id == r.component_id) for r in got)
-    neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK = held
-    assert neardup.near_duplicates(none).count() == 0
-    kept = neardup.deduplicate(odd)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, None, 5, 6, 8])
+        kept = neardup.deduplicate(odd, threshold)
+        assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, None, 5, 6, 8])
+    neardup.BUCKET_BLOCK, neardup.CLUSTER_BLOCK, C.MAX_BROADCAST = held
+    assert neardup.near_duplicates(none).count() == 0 and neardup.deduplicate(none).count() == 0
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    """Words that collide under every polynomial modulo 2**64 aren't linked, as words, in shingles or beyond LONG bytes."""
+    texts = []
+    for size in (64, 512, 1024, 4096):
+        word = "a"
+        while len(word) < size:
+            word += word.translate({97: 98, 98: 97})
+        texts += [word, word.translate({97: 98, 98: 97}), f"one two {word} three four", f"one two {word.translate({97: 98, 98: 97})} three four"]
+    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert all(r.kept for r in out)
 
 
 def test_odd_sketch_estimates(spark):
@@ -139,17 +152,41 @@ def test_odd_sketch_estimates(spark):
 
 def test_components(spark):
     random.seed(2)
-    edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 540)]
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    for hub in (1000, 3):  # without hubs, and with
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), hub=hub).collect()}
+        assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_written_tables_go(spark):
+    """Tables are deleted once no plan uses them, or when told; those of a block leave only its result."""
+    import gc
+    import os
+
+    there = lambda df: os.path.exists(df._written_at.removeprefix("file:"))
+    first, second = C.written(spark.range(3)), C.written(spark.range(4))
+    path, use = first._written_at.removeprefix("file:"), second.selectExpr("id + 1 as x")
+    C.drop(second)
+    assert os.path.exists(path) and not os.path.exists(second._written_at.removeprefix("file:"))
+    del first, use
+    for _ in range(20):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        C.drop(C.written(spark.range(1)))  # which looks for such tables, too
+        if not os.path.exists(path):
+            break
+    assert not os.path.exists(path)
+    inner = []
+    out = C.alone(lambda: inner.append(C.written(spark.range(5))) or inner[0].selectExpr("id * 2 as x"))
+    assert there(out) and not there(inner[0]) and out.count() == 5
+
+
 def test_tokens(spark, docs, odd, none, texts):
     from tokenizers import Tokenizer
 
@@ -190,6 +227,8 @@ def test_sharding(spark, docs, odd, none):
         assert sorted(p) == list(range(m)) and (sharding.permuted(p, m, back=True) == np.arange(m)).all()
     row = sharding.sharded(docs, 40).first()
     assert sharding.place_of(row.number, n, 40) == (row.shard, row.slot) and sharding.number_at(row.shard, row.slot, n, 40) == row.number
+    alike = sharding.sharded(spark.range(140_000).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text")), 7)
+    assert alike.agg(F.count(F.lit(1)), F.countDistinct("shard", "slot"), F.max("slot")).first()[:] == (140_000, 140_000, 19_999)
     few = sharding.sharded(odd, 3).toPandas()
     assert len(few) == odd.count() and sorted(few.groupby("shard").size()) == [3, 4, 4] and sharding.sharded(none).count() == 0
 
@@ -221,6 +260,49 @@ def test_repeats(spark, docs, odd, none, monkeypatch):
         got = repeats.remove_repeats(frame, ["doc_id"]).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert repeats.remove_repeats(none, ["doc_id"]).count() == 0
+    clash = repeats.remove_repeats(odd.withColumnRenamed("size", "n_bytes").withColumn("spans", F.lit(1)), ["doc_id", "n_bytes", "spans"])
+    assert clash.columns == ["doc_id", *repeats.ADDED] and clash.count() == odd.count()
+
+
+def test_repeats_in_very_long_texts(spark, monkeypatch):
+    """Texts looked at in pieces, with keys dealt as hubs, give the same."""
+    random.seed(8)
+    noise = lambda n: "".join(random.choice("stuvwxyz ") for _ in range(n))
+    common = noise(700)
+    texts = [noise(9000) + common + noise(20_000) + common[:450] + noise(3000), common[100:620] + noise(50), "Wort " * 4000, *(noise(random.randrange(80)) + common + noise(random.randrange(80)) for _ in range(30)), common, common, noise(500)]
+    for name, value in (("CHUNK", 1000), ("PIECE", 1500)):
+        monkeypatch.setattr(repeats, name, value)
+    monkeypatch.setattr(repeats, "hubs_apart", lambda *a: C.hubs_apart(*a, hub=2))
+    # Workers take the module's own values; the pieces are tested here on the driver.
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((i, *x) for i, x in enumerate(brute_repeats(texts, 400)))
+    got = repeats.remove_repeats(frame, ["doc_id"]).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode()[:16] for t in texts]), pa.array(texts)], names=["cls", "text"])
+    seen = Counter()
+    for part in repeats._found(iter([batch])):
+        for r in part.to_pylist():
+            for w in range(r["at"] - r["lo"], r["at"] - r["hi"] + 1):
+                seen[r["cls"], w] += 1
+    assert seen == Counter((t.encode()[:16], w) for t in texts for w in range(len(t) - 399))
+
+
+def test_hashes_of_repeats():
+    """Equal strings have equal hashes wherever they stand, and Thue-Morse strings different ones."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    data = np.frombuffer((word + word.translate({97: 98, 98: 97}) + "xyz" + word).encode(), np.uint8)
+    g = repeats.gram_hashes(data)
+    own = {}
+    for i in range(len(g)):
+        own.setdefault(data[i : i + repeats.K].tobytes(), set()).add(int(g[i]))
+    assert all(len(x) == 1 for x in own.values()) and len({x for v in own.values() for x in v}) == len(own)
+    at, sizes = np.array([0, 1024, 2051, 0]), np.array([1024, 1024, 1024, 700])
+    h = repeats.joined_hashes(g, at, sizes, np.zeros(4))
+    assert h[0] == h[2] == repeats.joined_hashes(g, at[:1], sizes[:1], np.zeros(1))[0] and len(set(h.tolist())) == 3
 
 
 def test_run_length_index():
@@ -245,6 +327,44 @@ def test_language(spark, docs, odd, none):
     assert {(r.lang_pred, r.score) for r in said if not any(c.isalpha() for c in r.text or "")} == {("und", 0.0)} and len(said) == odd.count()
     assert language.predict(odd, language.profiles(none), ["doc_id"]).select("lang_pred").distinct().collect()[0][0] == "und"
     assert language.predict(none, of, ["doc_id"]).count() == 0
+    assert language.predict(odd.withColumn("score", F.lit("x")), of, ["doc_id", "score"]).columns == ["doc_id", "lang_pred", "score"]
+
+
+def plain_language(text, of):
+    """Distances by plain dictionaries, from the definition."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    grams = Counter(("_" + "_".join(words) + "_")[i : i + n] for n in (1, 2, 3) for i in range(sum(map(len, words)) + len(words) + 2 - n)) if words else Counter()
+    grams = {g: c for g, c in grams.items() if g != "_" and g != "__" and not (len(g) == 3 and g[1] == "_")}
+    if not grams or not of:
+        return "und", 0.0
+    code = lambda g: sum((1 if c == "_" else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    own = sorted(grams, key=lambda g: (-grams[g], code(g)))[: language.TOP]
+    off = {k: sum(abs(p[code(g)] - i) if code(g) in p else language.TOP for i, g in enumerate(own)) for k, p in of.items()}
+    best = min(sorted(off), key=lambda k: off[k])
+    return best, 1 - off[best] / (language.TOP * len(own))
+
+
+def test_language_distances(spark, docs, odd, monkeypatch):
+    """Predictions and scores against the definition, in one block of languages and in several."""
+    of = language.profiles(docs)
+    places = {k: {int(g): i for i, g in enumerate(v)} for k, v in of.items()}
+    rows = docs.limit(60).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = Counter((r.doc_id, *(lambda x: (x[0], round(x[1], 12)))(plain_language(r.text, places))) for r in rows.collect())
+    for many in (200, 1, 3):
+        monkeypatch.setattr(language, "LANGUAGES", many)
+        for given in (of, language.learned(docs)):
+            assert Counter((r.doc_id, r.lang_pred, round(r.score, 12)) for r in language.predict(rows, given, ["doc_id"]).collect()) == want
+
+
+def test_mixing_repeated_ids(spark):
+    """Rows of one id, null or not, and of one text have coins of their own; words come near the target."""
+    rows = [(None, "w " * 100, "a")] * 1000 + [(7, "v " * 90, "b")] * 500 + [(i, "u " * (5 + i % 60), "c") for i in range(900)] + [(3, f"x{i} " * 20, "d") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for limit in (10**6, 0):
+        per = mixing.mix(frame, max_broadcast=limit).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("k"), F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in per) == len(rows) and all(abs(r.k - r.t) <= 200 for r in per)
+    emitted = mixing.emit(frame).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("k")).collect()
+    assert {r.source: r.k for r in emitted} == {r.source: r.k for r in per}
 
 
 def test_mixing(spark, docs, odd, none):
@@ -271,6 +391,36 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
 
 
+def test_license_cosines(spark, docs):
+    """The best header of each text against plain TF-IDF cosines of all lines and windows, without anchors."""
+    words = lambda x: re.findall("[a-z0-9]+", x.lower())
+    notices = [(k, words(x)) for k, t in sorted(licenses.TEMPLATES.items()) for x in t.split("\n")]
+    df = Counter(w for _, ws in notices for w in set(ws))
+    idf = lambda w: math.log((1 + len(notices)) / (1 + df[w])) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cos = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / (norm(a) * norm(b)) if a and b else 0.0
+    of = [(k, len(ws), vector(ws)) for k, ws in notices]
+    texts = [r.text for r in docs.collect() if len(r.text) < 1500]
+    texts = [t for t in texts if re.search("(?i)licen|rights|permission|creative", t)][:25] + texts[:10] + [f"line\n# {t.splitlines()[-1]}\nmore" for t in licenses.TEMPLATES.values()]
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), F.lit("a")).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        lines = [words(x) for x in text.split("\n")]
+        flat, line_of = [w for ws in lines for w in ws], [k for k, ws in enumerate(lines) for _ in ws]
+        found = [(-round(c, 9), span, a, k) for span in range(1, 5) for a in range(len(lines) - span + 1) for k, _, v in of if (c := cos(vector([w for ws in lines[a : a + span] for w in ws]), v)) >= licenses.THRESHOLD]
+        for k, n, v in of:
+            m = min(n, len(flat))
+            found += [(-round(c, 9), line_of[a + m - 1] - line_of[a] + 1, line_of[a], k) for a in range(len(flat) - m + 1) if m and (c := cos(vector(flat[a : a + m]), v)) >= licenses.THRESHOLD]
+        if found:
+            best = min(found)
+            hits += 1
+            assert (got[i].own_license, got[i].line) == (best[3].removesuffix("-text"), best[2]) and got[i].cosine == pytest.approx(-best[0], abs=1e-8)
+        else:
+            assert got[i].cosine in (0.0, 1.0)  # none, or a title
+    assert hits > 15
+
+
 def test_license_headers_anywhere(spark, docs):
     """Real headers, wrapped or not, inline notices and titles; and no window of words that anchors miss."""
     known = licenses.Templates(licenses.TEMPLATES)
@@ -332,6 +482,27 @@ def test_quality(spark, docs, odd, none, texts):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_sql_where_rules_are_certified(spark, tmp_path):
+    """With labels enough to certify cutoffs, for three languages and none, the query is what the SQL says, and rules reject what base rules don't."""
+    random.seed(6)
+    rows, labels = [], []
+    for i in range(6000):
+        lang, bad = random.choice(["en", "en", "de", None]), random.random() < 0.2
+        words = [f"w{random.randrange(10**6)}" for _ in range(60)]
+        kind = random.choice(["symbols", "shouting", "exclaiming"])
+        if bad:
+            words = [w.upper() for w in words] if kind == "shouting" else words + (["#" * 90] if kind == "symbols" else ["!" * 90])
+        rows.append((i, " ".join(words), lang))
+        if i % 5 or bad:
+            labels.append((i, int(not bad)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op9_quality(spark, str(tmp_path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = duck(quality.SQL, documents=f"{tmp_path}/documents.parquet/*.parquet", labels=f"{tmp_path}/labels.parquet/*.parquet").sort_values("doc_id").reset_index(drop=True)
+    assert got.astype(str).equals(want[list(got.columns)].astype(str))
+    assert ((~got.base_failed) & (~got.kept)).sum() > 300
+
+
 def test_risk_control(spark):
     tail = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
     cases = [(0, 10, 0.01), (3, 900, 0.01), (5, 900, 0.01), (12, 4000, 0.01), (40, 4000, 0.01)]
@@ -375,6 +546,49 @@ def test_scoring(spark, docs, odd, none, texts):
     assert ppm.adaptive("abababababababab") > -16 * math.log10(256) / 2 and ppm.adaptive(None) == pytest.approx(-math.log10(256))
 
 
+def plain_ppm(text, counts, order):
+    """log10 probability by prediction by partial matching, from the definition: context -> Counter of what follows."""
+    data = (text or "").encode().translate(bytes(V.LOWER)) + b"\xff"
+    data, out = b"\xff" * order + data, 0.0
+    for i in range(order, len(data)):
+        excluded = set()
+        for k in range(order, -1, -1):
+            seen = counts.get(data[i - k : i])
+            if not seen:
+                continue
+            left = {s: c for s, c in seen.items() if s not in excluded}
+            if data[i] in left:
+                out += math.log10(left[data[i]] / (sum(left.values()) + len(left)))
+                break
+            if left:
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+            excluded |= seen.keys()
+        else:
+            out -= math.log10(max(256 - len(excluded), 1))
+    return out
+
+
+def test_scores_by_definition(spark, docs, odd, monkeypatch):
+    """The model's score of texts in and out of the training, against a plain version; long texts in pieces too."""
+    train = docs.orderBy("doc_id").limit(40)
+    counts = {}
+    for r in train.collect():
+        data = b"\xff" * ppm.ORDER + r.text.encode().translate(bytes(V.LOWER)) + b"\xff"
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    rows = docs.filter("length(text) < 3000").limit(60).select("doc_id", "text").unionByName(odd.filter("doc_id is null or doc_id <> 5").select("doc_id", "text"))
+    want = sorted((r.doc_id or -1, plain_ppm(r.text, counts, ppm.ORDER)) for r in rows.collect())
+    got = sorted((r.doc_id or -1, r.score) for r in ppm.score(rows, ppm.train(train), ["doc_id"]).collect())
+    assert len(got) == len(want) and all(g[0] == w[0] and g[1] == pytest.approx(w[1], rel=1e-9) for g, w in zip(got, want, strict=True))
+    assert ppm.score(odd, ppm.train(train), ["doc_id", "score"] if "score" in odd.columns else ["doc_id"]).count() == odd.count()
+    monkeypatch.setattr(ppm, "CHUNK", 50)
+    text = np.frombuffer(("Abra cadabra " * 60).encode(), np.uint8)
+    whole = ppm.grams(text, np.array([0, len(text)]))[0]
+    pieces = list(ppm.looked_at(text, np.array([0, len(text)])))
+    assert len(pieces) > 5 and np.array_equal(np.concatenate([g for g, _ in pieces]), whole)
+
+
 def test_large_tries_keep_their_order(spark, docs, odd, monkeypatch):
     """A trie too large to be held whole gives the same scores, of the same order, whatever the blocks."""
     counts = ppm.train(docs)
