@@ -97,6 +97,10 @@ def test_reach_and_power(spark, toy):
 def test_pagerank(spark, toy):
     sub = E.weighted(toy, Weights(0.1, 0.5, 0.8)).withColumn("part", F.lit(0))
     ranks = {r.id: round(r.pr, 8) for r in P.pagerank(sub, RankOptions()).collect()}
+    two = sub.unionByName(sub.filter("src < 6").withColumn("part", F.lit(1)))
+    for options in (RankOptions(), RankOptions(max_iter=3), RankOptions(max_iter=0), RankOptions(max_iter=7, tol=None)):  # in tasks, and by joins
+        a, b = ({(r.part, r.id): r.pr for r in P.pagerank(two, options, limit).collect()} for limit in (K.MAX_EDGES, 1))
+        assert a == pytest.approx(b) and rows(P.convergence(two, options), "part", "n_nodes", "n_steps", "converged") == rows(P.convergence(two, options, 1), "part", "n_nodes", "n_steps", "converged")
     assert len(ranks) == 9 and ranks[8] == 0.18546099 and ranks[5] == 0.09217309 and ranks[1] == 0.03894672 and round(sum(ranks.values()), 6) == 0.601238
     parts = E.vertices(toy).select(F.lit(0).alias("part"), F.col("id").alias("node"))
     assert [r.id for r in P.top(P.pagerank(sub, RankOptions()), parts, 3).orderBy("pos").collect()] == [8, 5, 4]
@@ -108,6 +112,17 @@ def test_options():
             bad()
 
 
+def test_coins(spark):
+    """Coins of edges and trials are spread evenly, and neither neighbouring edges nor trials go together."""
+    from tidegraph.functions.expressions import coins
+
+    edges = spark.range(2000).select(F.lit(0).alias("part"), F.col("id").alias("src"), (F.col("id") * 3 % 71).alias("dest"), F.lit(1).alias("likes"), (F.col("id") % 2).alias("shares"), F.lit(0).alias("comments"), F.lit(1).alias("occ"))
+    u = np.array([r.u for r in coins(edges, 20, 42).orderBy("src", "trial").collect()]).reshape(2000, 20)
+    assert 0 <= u.min() and u.max() < 1 and abs(np.histogram(u, 50, (0, 1))[0] - 800).max() < 150
+    assert abs(np.corrcoef(u.T) - np.eye(20)).max() < 0.12 and all(abs(np.corrcoef(u[:-k].ravel(), u[k:].ravel())[0, 1]) < 0.03 for k in (1, 2, 3, 71))
+    assert u.tolist() != [r for r in np.array([r.u for r in coins(edges, 20, 43).orderBy("src", "trial").collect()]).reshape(2000, 20).tolist()]
+
+
 def test_cascade_limits(spark, toy):
     parts = E.vertices(toy).select(F.lit(0).alias("part"), F.col("id").alias("node"))
     seeds = spark.createDataFrame([(1,), (12,), (99,)], "id long")

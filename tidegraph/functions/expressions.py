@@ -1,8 +1,8 @@
-"""Column expressions: interaction weight, hash coin, influence score."""
+"""Interaction weight, coins, influence score."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Weights
@@ -12,10 +12,24 @@ def weight(w: Weights) -> Column:
     return F.lit(w.alpha) * F.col("likes") + F.lit(w.beta) * F.col("shares") + F.lit(w.gamma) * F.col("comments")
 
 
-def coin(seed: int) -> Column:
-    """In [0, 1): 32 bits of an MD5 over seed, trial, part and the edge's key, so a rerun throws the same."""
-    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("trial", "part", "src", "dest", "likes", "shares", "comments", "occ")])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+#: Fixed values of the coins: a prime below 2**31, a multiplier for each part of an edge's key, one for the trial and one for each mix.
+PRIME, FACTORS, TRIAL, MIX = 2147483647, {"part": 1540483477, "src": 1566083941, "dest": 1664525, "likes": 22695477, "shares": 1103515245, "comments": 134775813, "occ": 69069}, 16807, 48271
+
+
+def _mixed(rows: DataFrame, name: str, x: Column) -> DataFrame:
+    """rows with name = MIX x to the fifth, modulo PRIME: another number for each x."""
+    rows = rows.withColumn(name, x % PRIME).withColumn("_two", F.col(name) * F.col(name) % PRIME)
+    return rows.withColumn("_four", F.col("_two") * F.col("_two") % PRIME).withColumn(name, F.col("_four") * F.col(name) % PRIME * MIX % PRIME).drop("_two", "_four")
+
+
+def coins(edges: DataFrame, trials: int, seed: int) -> DataFrame:
+    """edges (part, KEY, occ) once for each trial, with a coin u in [0, 1): whole-number arithmetic on seed, part, key and trial, so a rerun throws the same."""
+    key = F.lit(seed).cast("bigint")
+    for c, factor in FACTORS.items():
+        key = key + F.pmod(F.col(c).cast("bigint"), F.lit(PRIME)) * factor % PRIME
+    thrown = _mixed(edges, "_key", key).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    thrown = _mixed(thrown, "_u", F.col("_key") + (F.col("trial").cast("bigint") + 1) * TRIAL)
+    return thrown.withColumn("u", F.col("_u") / F.lit(float(PRIME))).drop("_key", "_u")
 
 
 def influence(followers: Column, sources: Column, n: Column, d: float = 0.85) -> Column:

@@ -7,24 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import coin
+from ..functions.expressions import coins
 from . import kernels as K
 from .iterate import checkpointed
-from .reach import bfs
+from .reach import zone_sizes
 
 
 def greedy(edges: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """(pos, id, spread): the k candidates (part, pos, id) that reach most, ties in order of (part, pos); an id that two parts list counts once."""
     once = pool.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("part", "pos"))).filter("_r = 1").drop("_r")
-    size = bfs(edges, once).groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("spread"))
+    size = zone_sizes(edges, once).select(F.col("root").alias("id"), F.col("size").alias("spread"))
     best = once.join(size, "id").orderBy(F.desc("spread"), "part", "pos").limit(k)  # top-k is the feature
     return best.select(F.row_number().over(Window.orderBy(F.desc("spread"), "part", "pos")).alias("pos"), "id", "spread")
 
 
 def live_edges(sub: DataFrame, trials: int, seed: int) -> DataFrame:
     """(trial, part, src, dest) of edges (part, KEY, occ, w) whose coin is below w; edges with w <= 0 throw none."""
-    thrown = sub.filter("w > 0").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    return thrown.filter(coin(seed) < F.col("w")).select("trial", "part", "src", "dest")
+    return coins(sub.filter("w > 0"), trials, seed).filter("u < w").select("trial", "part", "src", "dest")
 
 
 def spread(live: DataFrame, seeds: DataFrame, parts: DataFrame, trials: int, max_edges: int = K.MAX_EDGES) -> DataFrame:

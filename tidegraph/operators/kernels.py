@@ -88,6 +88,17 @@ def distances(starts: np.ndarray, to: np.ndarray, root: int) -> tuple[np.ndarray
     return found, dist[found]
 
 
+def pagerank(n: int, src: np.ndarray, dest: np.ndarray, share: np.ndarray, d: float, steps: int, tol: float | None) -> tuple[np.ndarray, int, bool]:
+    """Ranks of n vertices, each of which gives its shares along its edges; how many steps were made, and whether the last one's summed change was below tol."""
+    now = np.full(n, 1.0 / max(n, 1))
+    for step in range(1, steps + 1):
+        new = (1 - d) / max(n, 1) + d * np.bincount(dest, weights=now[src] * share, minlength=n)
+        moved, now = np.abs(new - now).sum(), new
+        if tol is not None and moved < tol:
+            return now, step, True
+    return now, steps, False
+
+
 def reached(starts: np.ndarray, to: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many vertices each root reaches, itself included, and the sum of their distances: one bit a root, all of a word's roots at a time."""
     n, words = len(starts) - 1, -(-len(roots) // 64)

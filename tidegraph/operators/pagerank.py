@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import RankOptions
+from . import kernels as K
 from .iterate import checkpointed
 
 
@@ -19,19 +22,20 @@ def out_weights(eff: DataFrame) -> DataFrame:
     return eff.groupBy("part", "src").agg(F.sum("w").alias("out_w"))
 
 
-def pagerank(sub: DataFrame, options: RankOptions) -> DataFrame:
+def pagerank(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES) -> DataFrame:
     """(part, id, pr) from sub (part, src, dest, w): Jacobi steps; what vertices without a positive out-weight hold is lost; stops when a
-    part's summed change is below tol, each part by itself, or after max_iter steps."""
-    return _ranked(sub, options).select("part", "id", "pr")
+    part's summed change is below tol, each part by itself, or after max_iter steps. A part of up to max_edges vertices and distinct pairs is ranked in a
+    task, if that holds for all; else all parts' steps are joins."""
+    return _ranked(sub, options, max_edges).select("part", "id", "pr")
 
 
-def convergence(sub: DataFrame, options: RankOptions) -> DataFrame:
+def convergence(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES) -> DataFrame:
     """(part, n_nodes, n_steps, converged): how pagerank ended in every part."""
-    ended = _ranked(sub, options)
+    ended = _ranked(sub, options, max_edges)
     return ended.groupBy("part").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("steps").alias("n_steps"), F.max("still").alias("converged"))
 
 
-def _ranked(sub: DataFrame, options: RankOptions) -> DataFrame:
+def _ranked(sub: DataFrame, options: RankOptions, max_edges: int) -> DataFrame:
     sub = checkpointed(sub.select("part", "src", "dest", "w"))
     nodes = sub.select("part", F.col("src").alias("id")).distinct()
     count = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
@@ -39,6 +43,17 @@ def _ranked(sub: DataFrame, options: RankOptions) -> DataFrame:
     eff = effective(sub)
     share = eff.join(out_weights(eff).filter("out_w > 0"), ["part", "src"]).groupBy("part", "src", "dest").agg((F.sum("w") / F.first("out_w")).alias("p"))
     share = checkpointed(share.repartition("part", "src"))
+    both = share.unionByName(nodes.select("part", F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dest"), F.lit(0.0).alias("p")))
+    if (both.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= max_edges:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            links = pdf[pdf.dest.notna()]
+            ids = np.sort(pdf.src[pdf.dest.isna()].to_numpy(dtype=np.int64))
+            place = lambda x: np.searchsorted(ids, x.to_numpy(dtype=np.int64))
+            pr, steps, still = K.pagerank(len(ids), place(links.src), place(links.dest), links.p.to_numpy(), options.d, options.max_iter, options.tol)
+            return pd.DataFrame({"part": pdf.part.iloc[0], "id": ids, "pr": pr, "still": still, "steps": np.int32(steps)})
+
+        return both.groupBy("part").applyInPandas(run, f"part {sub.schema['part'].dataType.simpleString()}, id long, pr double, still boolean, steps int")
     now = nodes.select("part", "id", "n", (F.lit(1.0) / F.col("n")).alias("pr"), F.lit(False).alias("still"), F.lit(0).alias("steps"))
     for i in range(options.max_iter):
         got = share.join(now.select("part", F.col("id").alias("src"), "pr"), ["part", "src"]).groupBy("part", F.col("dest").alias("id")).agg(F.sum(F.col("pr") * F.col("p")).alias("got"))

@@ -61,12 +61,16 @@ zs AS (SELECT root AS id, count(*) AS spread FROM z GROUP BY root),
 best AS (SELECT row_number() OVER (ORDER BY spread DESC, place) AS pos, id, spread FROM pool JOIN zs USING (id) ORDER BY spread DESC, place LIMIT 5)"""
 
 
-def _live(rows: str, part: str) -> str:
-    return f"""coins AS (SELECT t.trial, {part} AS part, src, dest, w, CAST('0x' || substr(md5(concat_ws('|', '42', t.trial, {part}, src, dest, likes, shares, comments, occ)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM {rows}, (SELECT unnest(range(20)) AS trial) t WHERE w > 0),
+def _live(rows: str) -> str:
+    fifth = "({0} * {0} % 2147483647) AS {0}2, ({0}2 * {0}2 % 2147483647) AS {0}4, ({0}4 * {0} % 2147483647) * 48271 % 2147483647 AS {1}"
+    of = {"CAST(part AS BIGINT)": 1540483477, "CAST(src AS BIGINT)": 1566083941, "CAST(dest AS BIGINT)": 1664525, "CAST(likes AS BIGINT)": 22695477, "CAST(shares AS BIGINT)": 1103515245, "CAST(comments AS BIGINT)": 134775813, "CAST(occ AS BIGINT)": 69069}
+    key = " + ".join(f"{c} * {factor} % 2147483647" for c, factor in of.items())
+    return f"""keyed AS (SELECT part, src, dest, w, (42 + {key}) % 2147483647 AS x, {fifth.format("x", "k")} FROM (SELECT * FROM {rows} WHERE w > 0)),
+coins AS (SELECT t.trial, part, src, dest, w, (k + (t.trial + 1) * 16807) % 2147483647 AS y, {fifth.format("y", "z")}, z / 2147483647.0::DOUBLE AS u FROM keyed, (SELECT CAST(unnest(range(20)) AS BIGINT) AS trial) t),
 live AS (SELECT DISTINCT trial, part, src, dest FROM coins WHERE u < w)"""
 
 
-IC = f"wg AS (SELECT *, {CW} AS w FROM g), " + _live("wg", "0")
+IC = f"wg AS (SELECT CAST(0 AS INTEGER) AS part, *, {CW} AS w FROM g), " + _live("wg")
 IC_RUN = "sd AS (SELECT DISTINCT src AS id FROM g ORDER BY src LIMIT 3), a(trial, node) AS (SELECT trial, id FROM sd, (SELECT unnest(range(20)) AS trial) UNION SELECT a.trial, live.dest FROM a JOIN live ON live.trial = a.trial AND live.src = a.node), act AS (SELECT CAST(0 AS INTEGER) AS part, CAST(trial AS INTEGER) AS trial, count(*) AS active FROM a GROUP BY trial)"
 LINES = """ln AS (SELECT src, concat_ws(' ', src, dest, likes, shares, comments) AS row, concat_ws('|', lpad(CAST(src AS VARCHAR), 12, '0'), lpad(CAST(dest AS VARCHAR), 12, '0'), lpad(CAST(likes AS VARCHAR), 12, '0'), lpad(CAST(shares AS VARCHAR), 12, '0'), lpad(CAST(comments AS VARCHAR), 12, '0'), lpad(CAST(occ AS VARCHAR), 12, '0')) AS n, src % 11 AS m, * EXCLUDE (src) FROM g),
 ok AS (SELECT * FROM ln WHERE m NOT IN (3, 4, 5))"""
@@ -137,8 +141,8 @@ SQL = {
 }
 _ACTIVE = "a(trial, part, node) AS (SELECT trial, part, id FROM best, (SELECT unnest(range(20)) AS trial), (SELECT unnest(range({})) AS part) UNION SELECT a.trial, a.part, live.dest FROM a JOIN live ON live.trial = a.trial AND live.part = a.part AND live.src = a.node)"
 _TOTAL = "SELECT CAST(pos AS INTEGER) AS pos, id, spread, t.* FROM best, (SELECT count(*) AS total, count(*) / 20.0::DOUBLE AS mean_spread FROM a) t"
-SQL["pipeline_report"] = _q(_TOTAL, *_pr_cast, GREEDY, _live("sub", "part"), _ACTIVE.format(3))
-SQL["pipeline_report_global"] = _q(_TOTAL, TRADE, f"sub AS (SELECT CAST(0 AS INTEGER) AS part, *, {CW} AS w FROM g)", _ranks(own="true"), GREEDY, _live("sub", "part"), _ACTIVE.format(1))
+SQL["pipeline_report"] = _q(_TOTAL, *_pr_cast, GREEDY, _live("sub"), _ACTIVE.format(3))
+SQL["pipeline_report_global"] = _q(_TOTAL, TRADE, f"sub AS (SELECT CAST(0 AS INTEGER) AS part, *, {CW} AS w FROM g)", _ranks(own="true"), GREEDY, _live("sub"), _ACTIVE.format(1))
 _s = "SELECT r.a AS id, sum(0.15::DOUBLE * fin / (SELECT count(*) FROM v) + 0.85::DOUBLE * s) AS gone FROM r JOIN own ON own.id = r.b WHERE r.b IN (SELECT id FROM {0}) GROUP BY r.a"
 _pick = "{1} AS (SELECT * FROM {0} UNION ALL SELECT * FROM (SELECT {2} AS pos, c.id FROM cand c LEFT JOIN (" + _s + ") x ON x.id = c.id WHERE c.id NOT IN (SELECT id FROM {0}) ORDER BY round(power - coalesce(gone, 0.0) - idx * 1e-9::DOUBLE, 10), idx LIMIT 1))"
 _PICKED = ("SELECT CAST(pos AS INTEGER) AS pos, id FROM s3", "s0 AS (SELECT 0 AS pos, id FROM cand WHERE false)", *[_pick.format(f"s{i}", f"s{i + 1}", i + 1) for i in range(3)])
