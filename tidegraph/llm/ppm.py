@@ -128,10 +128,16 @@ class Trie:
             if lower is not None:  # what is left of the shorter context's sums once this one's symbols are excluded
                 at = np.searchsorted(lower["keys"], own & ((1 << 8 * k) - 1))
                 up = np.searchsorted(lower["ctx"], ctx & ((1 << 8 * (k - 1)) - 1))
-                level["left_total"] = lower["total"][up] - (np.add.reduceat(lower["n"][at], first) if len(first) else 0)
+                level["left_total"] = lower["total"][up].astype(np.int64) - (np.add.reduceat(lower["n"][at].astype(np.int64), first) if len(first) else 0)
                 level["left_distinct"] = lower["distinct"][up] - many
-            self.levels.append(level)
-            lower = level
+            self.levels.append(lower := {name: self._narrow(name, x) for name, x in level.items()})
+
+    @staticmethod
+    def _narrow(name: str, x: np.ndarray) -> np.ndarray:
+        """Counts in as few bytes as hold them: workers keep a trie each."""
+        if name in ("keys", "ctx"):
+            return x
+        return x.astype(np.int16 if "distinct" in name else np.uint32 if x.max(initial=0) < 2**32 else np.int64)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probabilities of each gram's last byte after those before it."""
