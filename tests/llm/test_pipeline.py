@@ -106,3 +106,11 @@ def test_run_leaves_one_table(spark):
     out = pipeline.run(spark, DATA)
     left = set(C._tables) - before
     assert len(left) <= 3 and out.count() > 0
+
+
+def test_sql(spark):
+    from test_operators import duck
+
+    got = Counter(tuple(r) for r in pipeline.run(spark, DATA).collect())
+    want = duck(pipeline.ORACLE_SQL, documents=f"{DATA}/documents.parquet", benchmark=f"{DATA}/benchmark.parquet", labels=f"{DATA}/labels.parquet")
+    assert got == Counter(want[["doc_id", "size", "text_crc32", "shard", "slot"]].itertuples(index=False, name=None))

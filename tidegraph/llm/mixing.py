@@ -120,9 +120,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-SQL = r"""
+def sql(documents: str = "documents") -> str:
+    """doc_id, size, source_size, target and copies."""
+    return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-           coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS said FROM documents),
+           coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS said FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 r AS (SELECT *, 3 * source_size / weight AS ratio FROM s),
 l AS (SELECT *, sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER o, 0) AS lw, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS lg, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS k
@@ -134,5 +136,8 @@ c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
       CAST(CAST('0x' || substr(md5('42|' || coalesce('source ' || d.source, 'null')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, rate - floor(rate) AS part, count(*) OVER (PARTITION BY source ORDER BY class) AS upto_class, count(*) OVER (PARTITION BY source, class) AS n, count(*) OVER (PARTITION BY source, class ORDER BY bin) AS upto FROM c)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN upto <= floor(u + upto_class * part) - floor(u + (upto_class - n) * part) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p
+SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN upto <= floor(u + upto_class * part) - floor(u + (upto_class - n) * part) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM p
 """
+
+
+SQL = f"SELECT doc_id, size, source_size, target, size * copies AS taken FROM ({sql()})"

@@ -35,7 +35,7 @@ from ._common import beside, drop, table, written
 from ._components import components
 
 THRESHOLD, BANDS, ROWS, BITS, SLACK, N = 80, 25, 5, 512, 0.2, 5
-BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1_500_000
+BUCKET_BLOCK, CLUSTER_BLOCK = 16_384, 1_500_000
 _rng = np.random.default_rng(20240608)
 _XOR = _rng.integers(1, 2**64 - 1, BANDS * ROWS, dtype=np.uint64)
 _MUL = _rng.integers(1, 2**64 - 1, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -91,22 +91,6 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches."""
     held: list[pa.Table] = []
@@ -143,10 +127,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         if mark and len(done) < 200_000:  # other bands gave the same members
             done.add(mark)
         maps = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(sigs), -1)
-        forest = _Forest(len(sigs))
+        own = np.arange(len(sigs))  # which members are joined already; those of one's own tree aren't looked at again
         for i in range(len(sigs) - 1):
-            for j in (np.flatnonzero(np.bitwise_count(maps[i + 1 :] ^ maps[i]).sum(1, dtype=np.int64) <= most) + i + 1).tolist():
-                if forest.join(i, j):
+            rest = np.flatnonzero(own[i + 1 :] != own[i]) + i + 1
+            for j in rest[np.bitwise_count(maps[rest] ^ maps[i]).sum(1, dtype=np.int64) <= most].tolist():
+                if own[j] != own[i]:
+                    own[own == own[j]] = own[i]
                     us.append(sigs[i])
                     vs.append(sigs[j])
         if len(us) > 20_000:
@@ -166,17 +152,18 @@ def _by_set(threshold: int):
             sizes = np.array([len(s) for s in sets])
             order = np.argsort(sizes, kind="stable")
             flat, codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-            sizes, at, forest = sizes[order], np.concatenate([[0], np.cumsum(sizes[order])]), _Forest(len(sigs))
+            sizes, at, own = sizes[order], np.concatenate([[0], np.cumsum(sizes[order])]), np.arange(len(sigs))
             seen = np.zeros(len(flat), dtype=np.uint8)
             for i in range(len(sigs) - 1):
                 last = int(np.searchsorted(sizes * threshold, 100 * sizes[i], "right"))  # larger sets can't be that similar
-                if last <= i + 1:
+                if (own[i + 1 : last] == own[i]).all():  # none, or all joined already
                     continue
                 seen[codes[at[i] : at[i + 1]]] = 1
                 both = np.add.reduceat(seen[codes[at[i + 1] : at[last]]], at[i + 1 : last] - at[i + 1], dtype=np.int64)
                 seen[codes[at[i] : at[i + 1]]] = 0
                 for j in (np.flatnonzero(100 * both >= threshold * (sizes[i] + sizes[i + 1 : last] - both)) + i + 1).tolist():
-                    if forest.join(i, j):
+                    if own[j] != own[i]:
+                        own[own == own[j]] = own[i]
                         us.append(sigs[order[i]])
                         vs.append(sigs[order[j]])
             if len(us) > 20_000:
@@ -249,3 +236,22 @@ def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85).withColumnRenamed("id", "doc_id")
+
+
+def sql(documents: str = "documents", threshold: int = 85) -> str:
+    """The same for a table whose ids are there and differ: pairs that share shingles, and components by search."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {documents}),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {threshold} * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, other) AS (SELECT x, x FROM ways UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON r.other = w.x),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+SQL = sql()

@@ -148,14 +148,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _sql(alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> str:
+def sql(documents: str = "documents", alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES) -> str:
     cast = lambda rate: " / ".join(f"CAST({x} AS DOUBLE)" for x in rate.split(" / "))
     rates = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, {cast(rate)} AS rate FROM f WHERE n_words > 0" for name, (rate, _) in rules.items())
     cuts = ", ".join(f"('{name}', CAST({c} AS DOUBLE))" for name, (_, values) in rules.items() for c in values)
     p = f"CAST({alpha / len(rules)!r} AS DOUBLE)"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM {documents}),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
 dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),
@@ -174,4 +174,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-SQL = _sql()
+SQL = sql()

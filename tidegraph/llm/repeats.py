@@ -341,3 +341,16 @@ def remove_repeats(docs: DataFrame, keep: list[str], text_col: str = "text") ->
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept", "spans")
+
+
+#: For a table whose ids are there and differ: windows by their MD5, spans where neighbouring ones begin at most LENGTH bytes apart.
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i + 1:i + {LENGTH}]) AS m FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+found AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i <= p + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM found)),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS z FROM runs GROUP BY doc_id, k),
+pieces AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS y FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, string_agg(hex(b[y + 1:a]), '' ORDER BY k) || hex(any_value(b)[max(z) + 1:octet_length(any_value(b))]) AS kept FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hex(b)))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""

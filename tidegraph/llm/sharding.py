@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import table, written
 
-BUCKETS, ROUNDS, SEED = 4096, 6, 42
+DIGITS, ROUNDS, SEED = 3, 6, 42  # 16**DIGITS buckets
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -77,10 +77,10 @@ def numbered(docs: DataFrame, carry: Sequence[str], text_col: str = "text") -> t
     size = F.octet_length(text).cast("bigint") + 16
     own = [*carry, "size", "text_crc32"]
     alike = docs.select(*[F.col(f"`{c}`") for c in carry], size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")).groupBy(*[f"`{c}`" for c in own]).agg(F.count(F.lit(1)).alias("_n"))
-    alike = alike.withColumn("_bucket", F.pmod(F.xxhash64(*[f"`{c}`" for c in own]), F.lit(BUCKETS)).cast("int"))
+    alike = alike.withColumn("_bucket", F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in own])), 1, DIGITS), 16, 10).cast("int"))
     upto = Window.partitionBy("_bucket").orderBy(*[f"`{c}`" for c in own])
     alike = written(alike.withColumn("_end", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0))))
-    per = alike.groupBy("_bucket").agg(F.sum("_n").alias("_all"))  # BUCKETS rows at most
+    per = alike.groupBy("_bucket").agg(F.sum("_n").alias("_all"))  # a row a bucket
     per = written(per.select(F.col("_bucket").alias("_b"), "_all", (F.sum("_all").over(Window.orderBy("_bucket")) - F.col("_all")).alias("_first")))
     n = per.agg(F.coalesce(F.sum("_all"), F.lit(0))).first()[0]
     # Copies are listed in two steps, so that no array grows with them all.
@@ -104,3 +104,27 @@ def sharded(docs: DataFrame, shards: int = 40, seed: int = SEED, carry: Sequence
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sql(documents: str = "documents", shards: int = 40, seed: int = SEED) -> str:
+    """doc_id, size, text_crc32, shard and slot: CRC-32 bit by bit, the network over its whole domain as a table, walked by recursion."""
+    step = lambda x, shift, factor: f"CAST(xor({x}, {x} >> {shift})::UHUGEINT * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    rounds = ""
+    for k, key in enumerate(_keys(seed, ROUNDS)):
+        rounds += f"""a{k} AS (SELECT *, xor(r, {key}::UBIGINT) AS a FROM n{k}), b{k} AS (SELECT *, {step("a", 30, 13787848793156543929)} AS b FROM a{k}), c{k} AS (SELECT *, {step("b", 27, 10723151780598845931)} AS c FROM b{k}),
+n{k + 1} AS (SELECT x, half, mask, r AS l, xor(c{k}.l, xor(c, c >> 31) & mask) AS r FROM c{k}),
+"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, string_split(trim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g')), ' ') AS bytes FROM {documents}),
+own AS (SELECT doc_id, size, CASE WHEN size = 16 THEN 0 ELSE CAST(xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(bytes, lambda h: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (('0x' || h)::UBIGINT >> k) & 1))),
+  lambda c, x: xor(c >> 1, CASE WHEN c & 1 <> x THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)), 4294967295::UBIGINT) AS BIGINT) END AS text_crc32 FROM d),
+numbered AS (SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || size || '|' || text_crc32), 1, {DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS number, count(*) OVER () AS n FROM own),
+dims AS (SELECT n, greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS half FROM (SELECT count(*) AS n FROM own)),
+n0 AS (SELECT x, half, ((1::UBIGINT << half) - 1)::UBIGINT AS mask, x::UBIGINT >> half AS l, x::UBIGINT & ((1::UBIGINT << half) - 1)::UBIGINT AS r FROM (SELECT half, unnest(range(0, CAST(1::BIGINT << (2 * half) AS BIGINT))) AS x FROM dims)),
+{rounds}net AS (SELECT x, CAST((l << half) | r AS BIGINT) AS y FROM n{ROUNDS}),
+walk(number, y) AS (SELECT x, y FROM net, dims WHERE x < n UNION ALL SELECT walk.number, net.y FROM walk JOIN net ON net.x = walk.y, dims WHERE walk.y >= dims.n)
+SELECT doc_id, size, text_crc32, CAST(y % {shards} AS INTEGER) AS shard, CAST(y // {shards} AS BIGINT) AS slot FROM numbered JOIN walk USING (number) WHERE y < n
+"""
+
+
+SQL = f"SELECT doc_id, size, text_crc32, 'rows' AS law, shard, slot, CAST(NULL AS INTEGER) AS grown_shard FROM ({sql()})"
