@@ -47,8 +47,14 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Near-duplicate components and certified thresholds aren't expressible in SQL; tests/llm holds the rows against a brute-force version.
-ORACLE_SQL = None
+#: The same by DuckDB, each stage over what the one before it kept: for a table of documents whose ids are there and differ.
+ORACLE_SQL = f"""
+WITH good AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({quality.sql()}) USING (doc_id) WHERE kept),
+single AS MATERIALIZED (SELECT d.* FROM good d JOIN ({neardup.sql("good", neardup.THRESHOLD)}) USING (doc_id) WHERE kept),
+clean AS MATERIALIZED (SELECT d.* FROM single d JOIN ({decontaminate.sql("single")}) USING (doc_id) WHERE NOT contaminated),
+mixed AS MATERIALIZED (SELECT * EXCLUDE (copies, n) FROM (SELECT d.*, copies, unnest(range(copies)) AS n FROM clean d JOIN (SELECT doc_id, copies FROM ({mixing.sql("clean")})) USING (doc_id)))
+SELECT * FROM ({sharding.sql("mixed", SHARDS)})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
