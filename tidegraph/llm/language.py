@@ -165,3 +165,21 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = split_number(F.col("doc_id"), 3) == 1
     return predict(docs, learned(docs.filter(~held_out)), ["doc_id", held_out.alias("held_out")])
+
+
+#: The query for a table whose ids are there and differ: n-grams as numbers, 21 bits a character, a boundary being 1. CRC-32 of ids bit by bit.
+SQL = f"""
+WITH d AS (SELECT doc_id, lang, text, CAST(doc_id AS VARCHAR) AS id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS ws FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(trim(regexp_replace(hex(encode(id)), '(..)', '\\1 ', 'g')), ' '), lambda h: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (('0x' || h)::UBIGINT >> k) & 1))),
+  lambda c, x: xor(c >> 1, CASE WHEN c & 1 <> x THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)), 4294967295::UBIGINT) AS c FROM d),
+letters AS (SELECT doc_id, flatten([[1]] || list_transform(list_filter(ws, lambda w: w <> ''), lambda w: list_transform(string_split(w, ''), lambda x: ord(x)) || [1])) AS cs FROM d),
+places AS (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM letters WHERE len(cs) > 1),
+grams AS (SELECT doc_id, cs[i]::BIGINT AS g FROM places WHERE cs[i] <> 1 UNION ALL SELECT doc_id, (cs[i]::BIGINT << 21) | cs[i + 1] FROM places WHERE i < len(cs)
+  UNION ALL SELECT doc_id, (cs[i]::BIGINT << 42) | (cs[i + 1]::BIGINT << 21) | cs[i + 2] FROM places WHERE i < len(cs) - 1 AND cs[i + 1] <> 1),
+counts AS (SELECT doc_id, g, count(*) AS n FROM grams GROUP BY ALL),
+profiles AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS place FROM counts JOIN d USING (doc_id) JOIN crc USING (doc_id) WHERE lang IS NOT NULL AND text IS NOT NULL AND c % 3 <> 1 GROUP BY lang, g QUALIFY place < {TOP}),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS place, least(count(*) OVER (PARTITION BY doc_id), {TOP}) AS m FROM counts QUALIFY place < {TOP}),
+off AS (SELECT doc_id, l.lang, any_value(m) AS m, sum(coalesce(abs(p.place - own.place), {TOP})) AS o FROM own CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = own.g GROUP BY ALL),
+best AS (SELECT doc_id, lang, 1.0::DOUBLE - CAST(o AS DOUBLE) / CAST({TOP} * m AS DOUBLE) AS score FROM off QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o, lang) = 1)
+SELECT d.doc_id, c % 3 = 1 AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d JOIN crc USING (doc_id) LEFT JOIN best ON best.doc_id = d.doc_id
+"""
