@@ -390,4 +390,42 @@ def score(
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = split_number(F.col("doc_id"), 7) == 2
-    return score(docs, train(docs.filter(~held_out)), ["doc_id", held_out.alias("held_out")])
+    out = score(docs, train(docs.filter(~held_out)), ["doc_id", held_out.alias("held_out")])
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # sums of many logarithms; what lies beyond depends on their order
+
+
+def _sql(order: int = ORDER) -> str:
+    """The query for a table whose ids are there and differ: counts of all strings of up to order + 1 bytes as tables, and each distinct string's path of escapes."""
+    byte_list = "list_transform(string_split(trim(regexp_replace(hex(encode({0})), '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::{1})"
+    bits = byte_list.format("CAST(doc_id AS VARCHAR)", "UBIGINT")
+    crc = f"xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform({bits}, lambda b: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (b >> k) & 1))), lambda c, x: xor(c >> 1, CASE WHEN c & 1 <> x THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)), 4294967295::UBIGINT)"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    packed = " | ".join(f"(cs[i - {k}] << {8 * k})" for k in range(order + 1))
+    mask = "((1::BIGINT << (8 * ({0}))) - 1)"
+    return rf"""
+WITH d AS (SELECT doc_id, {crc} % 7 = 2 AS held_out, {low} AS t FROM documents),
+words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') || [chr(0) || ' end']) AS w FROM d),
+known AS (SELECT w, count(*) AS c FROM words JOIN d USING (doc_id) WHERE NOT held_out GROUP BY w),
+whole AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM known),
+base AS (SELECT doc_id, count(*) AS n_tokens, count(known.w) AS n_known, any_value(whole.n) AS train_tokens, sum(log10(CAST(coalesce(c, 0) + 1 AS DOUBLE)) - log10(CAST(whole.n + v + 1 AS DOUBLE))) AS base_score FROM words LEFT JOIN known USING (w), whole GROUP BY doc_id),
+symbols AS (SELECT doc_id, held_out, {[255] * order}::BIGINT[] || (CASE WHEN t = '' THEN []::BIGINT[] ELSE {byte_list.format("t", "BIGINT")} END) || [255::BIGINT] AS cs FROM d),
+grams AS (SELECT doc_id, held_out, {packed} AS g, count(*) AS n FROM (SELECT doc_id, held_out, cs, unnest(range({order + 1}, len(cs) + 1)) AS i FROM symbols) GROUP BY ALL),
+orders AS (SELECT CAST(unnest(range(0, {order + 1})) AS BIGINT) AS k),
+level AS (SELECT k, g & {mask.format("k + 1")} AS g, CAST(sum(n) AS BIGINT) AS n FROM grams, orders WHERE NOT held_out GROUP BY ALL),
+ctx AS (SELECT k, g >> 8 AS c, CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds FROM level GROUP BY ALL),
+-- What a context's symbols leave of the sums of the next shorter one.
+gone AS (SELECT a.k - 1 AS k, a.g >> 8 AS c, CAST(sum(b.n) AS BIGINT) AS total, count(*) AS kinds FROM level a JOIN level b ON b.k = a.k - 1 AND b.g = a.g & {mask.format("a.k")} GROUP BY ALL),
+each AS (SELECT DISTINCT g FROM grams),
+steps AS (SELECT e.g, o.k, level.n, ctx.total - coalesce(gone.total, 0) AS total, ctx.kinds - coalesce(gone.kinds, 0) AS kinds FROM each e CROSS JOIN orders o
+  JOIN ctx ON ctx.k = o.k AND ctx.c = (e.g & {mask.format("o.k + 1")}) >> 8
+  LEFT JOIN level ON level.k = o.k AND level.g = e.g & {mask.format("o.k + 1")}
+  LEFT JOIN gone ON gone.k = o.k AND gone.c = (e.g & {mask.format("o.k + 2")}) >> 8 AND o.k < {order}),
+last AS (SELECT g, max(CASE WHEN n IS NOT NULL THEN k END) AS f FROM steps GROUP BY g),
+told AS (SELECT each.g, coalesce(sum(CASE WHEN k = f THEN log10(CAST(n AS DOUBLE)) - log10(CAST(total + kinds AS DOUBLE)) WHEN k > coalesce(f, -1) AND kinds > 0 THEN log10(CAST(kinds AS DOUBLE)) - log10(CAST(total + kinds AS DOUBLE)) END), 0)
+  - CASE WHEN any_value(f) IS NULL THEN log10(CAST(greatest(256 - (SELECT count(*) FROM level WHERE k = 0), 1) AS DOUBLE)) ELSE 0 END AS p FROM each LEFT JOIN steps USING (g) LEFT JOIN last ON last.g = each.g GROUP BY each.g),
+scores AS (SELECT doc_id, sum(n * p) AS score FROM grams JOIN told USING (g) GROUP BY doc_id)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN base USING (doc_id) JOIN scores USING (doc_id)
+"""
+
+
+SQL = _sql()

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_ppm": ppm.op10_ppm,
 }
-SQL = {f"op{n}_{name}": module.SQL for n, name, module in ((1, "decontaminate", decontaminate), (2, "neardup", neardup), (4, "sharding", sharding), (5, "repeats", repeats), (6, "language", language), (7, "mixing", mixing), (9, "quality", quality))}
+SQL = {f"op{n}_{name}": module.SQL for n, name, module in ((1, "decontaminate", decontaminate), (2, "neardup", neardup), (4, "sharding", sharding), (5, "repeats", repeats), (6, "language", language), (7, "mixing", mixing), (9, "quality", quality), (10, "ppm", ppm))}
