@@ -334,7 +334,8 @@ def test_language(spark, docs, odd, none):
 def plain_language(text, of):
     """Distances by plain dictionaries, from the definition."""
     words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
-    grams = Counter(("_" + "_".join(words) + "_")[i : i + n] for n in (1, 2, 3) for i in range(sum(map(len, words)) + len(words) + 2 - n)) if words else Counter()
+    joined = f"_{'_'.join(words)}_"
+    grams = Counter(joined[i : i + n] for n in (1, 2, 3) for i in range(len(joined) + 1 - n)) if words else Counter()
     grams = {g: c for g, c in grams.items() if g != "_" and g != "__" and not (len(g) == 3 and g[1] == "_")}
     if not grams or not of:
         return "und", 0.0
