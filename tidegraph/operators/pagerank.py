@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import RankOptions
+from . import blocks as B
 from . import kernels as K
 from .iterate import checkpointed
 
@@ -22,22 +23,50 @@ def out_weights(eff: DataFrame) -> DataFrame:
     return eff.groupBy("part", "src").agg(F.sum("w").alias("out_w"))
 
 
-def pagerank(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES) -> DataFrame:
+def pagerank(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES, max_vertices: int = B.MAX_VERTICES) -> DataFrame:
     """(part, id, pr) from sub (part, src, dest, w): Jacobi steps; what vertices without a positive out-weight hold is lost; stops when a
-    part's summed change is below tol, each part by itself, or after max_iter steps. A part of up to max_edges vertices and distinct pairs is ranked in a
-    task, if that holds for all; else all parts' steps are joins."""
-    return _ranked(sub, options, max_edges).select("part", "id", "pr")
+    part's summed change is below tol, each part by itself, or after max_iter steps. A part of up to max_edges edges and vertices is ranked in a
+    task, if that holds for all; else all parts move together, by `blocks`, or with over max_vertices vertices by joins."""
+    return _ranked(sub, options, max_edges, max_vertices).select("part", "id", "pr")
 
 
-def convergence(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES) -> DataFrame:
+def convergence(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDGES, max_vertices: int = B.MAX_VERTICES) -> DataFrame:
     """(part, n_nodes, n_steps, converged): how pagerank ended in every part."""
-    ended = _ranked(sub, options, max_edges)
+    ended = _ranked(sub, options, max_edges, max_vertices)
     return ended.groupBy("part").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("steps").alias("n_steps"), F.max("still").alias("converged"))
 
 
-def _ranked(sub: DataFrame, options: RankOptions, max_edges: int) -> DataFrame:
+def _blocked(sub: DataFrame, names: B.Names, options: RankOptions) -> DataFrame:
+    """Ranks of all parts at once: a step sends all ranks, each over its vertex's out-weight, and each block sums what its own vertices get."""
+    links, n = B.Blocks(sub, names, lambda rows: rows.column("w").to_numpy(zero_copy_only=False), np.add, np.float64), len(names)
+    out_w = links.sums_of_sources()
+    mean = (1.0 / np.diff(names.ends))[names.of]
+    pr, steps, still = mean, np.zeros(len(names.parts), np.int32), np.zeros(len(names.parts), dtype=bool)
+
+    def run(own, s, first, x, shares):
+        return own, np.add.reduceat(shares[s] * x, first) if len(s) else np.zeros(0)
+
+    for _ in range(options.max_iter):
+        at, value = links.step(run, np.divide(pr, out_w, out=np.zeros(n), where=out_w > 0))
+        got = np.zeros(n)
+        got[at] = value
+        new = np.where(still[names.of], pr, (1 - options.d) * mean + options.d * got)
+        moved = np.bincount(names.of, weights=np.abs(new - pr), minlength=len(still))
+        pr, steps = new, steps + ~still
+        if options.tol is not None:
+            still = still | (moved < options.tol)
+            if still.all():
+                break
+    return B.table(sub.sparkSession, "part long, id long, pr double, still boolean, steps int", part=names.parts[names.of], id=names.ids, pr=pr, still=still[names.of], steps=steps[names.of].astype(np.int32)).withColumn("part", F.col("part").cast(sub.schema["part"].dataType))
+
+
+def _ranked(sub: DataFrame, options: RankOptions, max_edges: int, max_vertices: int) -> DataFrame:
     sub = checkpointed(sub.select("part", "src", "dest", "w"))
     nodes = sub.select("part", F.col("src").alias("id")).distinct()
+    if (sub.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > max_edges:
+        names = B.names_of(nodes, max_vertices)
+        if names is not None:
+            return _blocked(sub, names, options)
     count = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     nodes = checkpointed(nodes.join(count, "part"))
     eff = effective(sub)
