@@ -289,3 +289,40 @@ def test_kernels(links):
         for _ in range(4):
             there = there @ there
         assert K.reach_sums(target, values, dag[0], dag[1], level).tolist() == (there[:, target].astype(int) @ values[target]).tolist()
+
+
+def random_graph(spark, n, m, seed=1):
+    links = np.random.default_rng(seed).integers(0, n, (m, 2))
+    return spark.createDataFrame([(int(a), int(b), int(a) % 5, int(b) % 3, 1, i) for i, (a, b) in enumerate(links)], "src long, dest long, likes int, shares int, comments int, occ int").cache()
+
+
+def test_ranks_in_blocks(spark, monkeypatch):
+    """Parts of several blocks: ranks and steps are those of one task, and of joins."""
+    from tidegraph.operators import blocks as B
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    sub = E.weighted(random_graph(spark, 60, 300), Weights()).withColumn("part", (F.col("occ") % 3).cast("int"))
+    for options in (RankOptions(), RankOptions(max_iter=5, tol=None)):
+        got = [{(r.part, r.id): r.pr for r in P.pagerank(sub, options, *limit).collect()} for limit in ((), (1,), (1, 1))]
+        assert got[0] == pytest.approx(got[1]) and got[0] == pytest.approx(got[2])
+        assert len({frozenset(rows(P.convergence(sub, options, *limit), "part", "n_nodes", "n_steps", "converged")) for limit in ((), (1,), (1, 1))}) == 1
+
+
+def test_cascade_in_blocks(spark, monkeypatch):
+    """Coins as bits give what listed live edges give, over 64 trials too, with seeds that no edge touches and a part without edges."""
+    from tidegraph.operators import blocks as B
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    sub = random_graph(spark, 60, 100).withColumns({"w": (F.col("occ") % 7) / 6, "part": (F.col("occ") % 2).cast("int")})
+    seeds, parts = spark.createDataFrame([(1,), (5,), (9999,)], "id long"), spark.createDataFrame([(0, 1), (1, 1), (2, 3)], "part int, node long")
+    want = rows(cascade.spread(cascade.live_edges(sub, 70, 42), seeds, parts, 70), "part", "trial", "active")
+    assert len(want) == 210 and rows(cascade.cascaded(sub, seeds, parts, 70, 42), "part", "trial", "active") == want
+    assert rows(cascade.cascaded(sub, seeds, parts, 70, 42, max_vertices=1), "part", "trial", "active") == want
+
+
+def test_frontiers_of_a_checkpoint(spark, toy):
+    """What is seen starts as the frontier itself; roots here come out of a filter, whose constraints a union of both once failed on."""
+    pool = spark.createDataFrame([(0, 1, 4), (0, 2, 1), (1, 1, 4), (1, 2, 2), (2, 1, 77)], "part int, pos int, id long")
+    assert [(r.id, r.spread) for r in cascade.greedy(toy, pool, 4, max_edges=1).orderBy("pos").collect()] == [(1, 7), (2, 7), (4, 4), (77, 1)]
+    roots = pool.filter("id > 0 and pos = 1").select("id")
+    assert rows(R.frontier_bfs(toy, roots.select(F.col("id").alias("root")).distinct()), "root", "node", "dist") == rows(R.bfs(toy, roots), "root", "node", "dist")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,23 @@ def coins(edges: DataFrame, trials: int, seed: int) -> DataFrame:
     return thrown.withColumn("u", F.col("_u") / F.lit(float(PRIME))).drop("_key", "_u")
 
 
+def live_bits(edges: dict[str, np.ndarray], trials: Iterable[int], seed: int) -> np.ndarray:
+    """coins by arrays: for each edge a whole number with a bit for each of up to 64 trials, set if its coin is below the edge's w."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = np.fmod(x, PRIME)
+        two = np.fmod(x * x, PRIME)
+        return np.fmod(np.fmod(np.fmod(two * two, PRIME) * x, PRIME) * MIX, PRIME)
+
+    key = np.full(len(edges["w"]), seed, dtype=np.int64)
+    for c, factor in FACTORS.items():
+        key += np.mod(edges[c].astype(np.int64), PRIME) * factor % PRIME
+    key, out = mixed(key), np.zeros(len(key), dtype=np.uint64)
+    for j, t in enumerate(trials):
+        out |= (mixed(key + (t + 1) * TRIAL) / float(PRIME) < edges["w"]).astype(np.uint64) << np.uint64(j)
+    return out
+
+
 def influence(followers: Column, sources: Column, n: Column, d: float = 0.85) -> Column:
     """(1 - d) x followers / n + d x sources; sums over a set of vertices give the set's power."""
     raw = F.lit(1 - d) * followers / n + F.lit(d) * sources

@@ -45,5 +45,5 @@ def spread_seeds(edges: DataFrame, parts: DataFrame, weights: Weights, rank: Ran
     pool = candidate_pool(sub, by, spread.k, rank)
     first = sub.agg(F.min("part")).first()[0]
     chosen = checkpointed(cascade.greedy(sub.filter(F.col("part") == first), pool, spread.k))
-    runs = cascade.spread(cascade.live_edges(sub, spread.trials, spread.seed), chosen, by, spread.trials)
+    runs = cascade.cascaded(sub, chosen, by, spread.trials, spread.seed)
     return chosen, cascade.total(runs, spread.trials)
