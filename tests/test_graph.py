@@ -326,3 +326,22 @@ def test_frontiers_of_a_checkpoint(spark, toy):
     assert [(r.id, r.spread) for r in cascade.greedy(toy, pool, 4, max_edges=1).orderBy("pos").collect()] == [(1, 7), (2, 7), (4, 4), (77, 1)]
     roots = pool.filter("id > 0 and pos = 1").select("id")
     assert rows(R.frontier_bfs(toy, roots.select(F.col("id").alias("root")).distinct()), "root", "node", "dist") == rows(R.bfs(toy, roots), "root", "node", "dist")
+
+
+@pytest.mark.parametrize(("n", "m"), [(60, 70), (300, 330), (100, 450)])
+def test_components_in_blocks(spark, monkeypatch, n, m):
+    """Sparse graphs of many small components and dense ones of one large: the same by blocks and in one task, whether or not a task does the rest."""
+    from tidegraph.operators import blocks as B
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    graph = random_graph(spark, n, m)
+    want = rows(C.scc(graph), "id", "scc")
+    for limit in (1, 30):
+        found = C.scc(graph, max_edges=limit)
+        assert rows(found, "id", "scc") == want and len(want) == found.count()
+
+
+def test_components_shuffle_little(spark, monkeypatch):
+    """Steps over a graph beyond a task's limit don't join its edges: few stages shuffle."""
+    monkeypatch.setattr(C, "colored_scc", lambda *_: pytest.fail("components by joins"))
+    assert C.scc(random_graph(spark, 60, 300), max_edges=1).count() > 0
