@@ -341,7 +341,27 @@ def test_components_in_blocks(spark, monkeypatch, n, m):
         assert rows(found, "id", "scc") == want and len(want) == found.count()
 
 
-def test_components_shuffle_little(spark, monkeypatch):
-    """Steps over a graph beyond a task's limit don't join its edges: few stages shuffle."""
+def test_components_without_joins(spark, monkeypatch):
+    """A graph beyond a task's limit goes by blocks, not by joins of its edges."""
     monkeypatch.setattr(C, "colored_scc", lambda *_: pytest.fail("components by joins"))
     assert C.scc(random_graph(spark, 60, 300), max_edges=1).count() > 0
+
+
+def test_kway_in_blocks(spark, monkeypatch):
+    """Swaps by blocks make the same moves as swaps by joins."""
+    from tidegraph.operators import blocks as B
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    graph = random_graph(spark, 60, 300)
+    split = rows(S.kway(graph, 3, max_edges=1), "node", "part")
+    assert len(split) == E.vertices(graph).count() and split == rows(S.kway(graph, 3, max_edges=1, max_vertices=1), "node", "part")
+
+
+def test_seeds_in_blocks(spark, monkeypatch):
+    """Who reaches a seed is found by blocks as by one task."""
+    graph = random_graph(spark, 60, 100)
+    power = I.power(graph).cache()
+    want = rows(I.seeds(graph, power, 3), "pos", "id")
+    monkeypatch.setattr(K, "MAX_EDGES", 1)
+    monkeypatch.setattr(R, "frontier_bfs", lambda *_: pytest.fail("frontiers by joins"))
+    assert rows(I.seeds(graph, power, 3), "pos", "id") == want and len(want) == 3
