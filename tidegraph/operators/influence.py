@@ -15,7 +15,8 @@ from . import kernels as K
 from .components import dag, levels, scc
 from .edges import degrees, influence_score, pairs, vertex_index
 from .iterate import checkpointed
-from .reach import bfs, closure, held_graph
+from . import blocks as B
+from .reach import _named, bfs, closure, held_graph
 
 #: Components that a task's matrix of reach bits covers at a time, and its largest height: 26 MB.
 BLOCK, MAX_COMPONENTS = 1024, 200_000
@@ -72,6 +73,14 @@ def ranking(scores: DataFrame, by: str = "score") -> DataFrame:
     return ranked.select("id", by, (F.col("place") + 1).alias("place"))
 
 
+def _reached(links: B.Blocks, names: B.Names, root: int) -> np.ndarray:
+    seen, at = np.zeros(len(names), np.uint8), names.places(np.zeros(1, np.int64), np.array([root]))
+    seen[at[0][at[1]]] = 1
+    for new in links.spread(seen.copy()):
+        seen |= new
+    return names.ids[seen > 0]
+
+
 def seeds(edges: DataFrame, powers: DataFrame, k: int = 3, mode: str = "min_rank") -> DataFrame:
     """(pos, id): k rounds; each takes the candidate whose power, less the scores of seeds that it reaches and 1e-9 x index, is least (min_rank)
     or greatest (max_rank); ties to the smaller index. Only who reaches a seed is looked for, back from each as it is chosen."""
@@ -79,7 +88,9 @@ def seeds(edges: DataFrame, powers: DataFrame, k: int = 3, mode: str = "min_rank
         raise ValueError("k must be 1 or more, mode min_rank or max_rank")
     pool, taken, spark = checkpointed(candidates(powers).withColumn("gone", F.lit(0.0))), [], edges.sparkSession
     back = checkpointed(pairs(edges).select(F.col("dest").alias("src"), F.col("src").alias("dest")))
-    score, graph = checkpointed(influence_score(edges)), held_graph(back)
+    score, graph = checkpointed(influence_score(edges)), held_graph(back, K.MAX_EDGES)
+    rows, names = (None, None) if graph else _named(back)
+    links = B.Blocks(rows, names) if names else None
     for pos in range(1, k + 1):
         rank = F.round(F.col("power") - F.col("gone") - F.col("idx") * 1e-9, 10)
         left = pool.filter(~F.col("id").isin([i for _, i in taken])) if taken else pool
@@ -89,6 +100,10 @@ def seeds(edges: DataFrame, powers: DataFrame, k: int = 3, mode: str = "min_rank
         taken.append((pos, best["id"]))
         if pos < k:
             own = score.filter(F.col("id") == best["id"]).first()["score"]
-            reach = bfs(back, spark.createDataFrame([(best["id"],)], "id long"), graph=graph).select(F.col("node").alias("id"), F.lit(own).alias("s"))
+            if links:
+                reach = B.table(spark, "id long", id=_reached(links, names, best["id"]))
+            else:
+                reach = bfs(back, spark.createDataFrame([(best["id"],)], "id long"), graph=graph).select(F.col("node").alias("id"))
+            reach = reach.withColumn("s", F.lit(own))
             pool = checkpointed(pool.join(reach, "id", "left").withColumn("gone", F.col("gone") + F.coalesce("s", F.lit(0.0))).drop("s"))
     return spark.createDataFrame(taken, "pos int, id long")
