@@ -365,3 +365,18 @@ def test_seeds_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(K, "MAX_EDGES", 1)
     monkeypatch.setattr(R, "frontier_bfs", lambda *_: pytest.fail("frontiers by joins"))
     assert rows(I.seeds(graph, power, 3), "pos", "id") == want and len(want) == 3
+
+
+def test_reach_in_chunks(spark, monkeypatch):
+    """Components are larger than a chunk of their members; zone sizes by blocks, in steps of 64 roots, are those of lists."""
+    from tidegraph.operators import blocks as B
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    monkeypatch.setattr(R, "CHUNK", 7)
+    graph = random_graph(spark, 100, 200)
+    every = E.vertices(graph)
+    zones = R.bfs(graph, every).cache()
+    pairs = R.reachability(graph)
+    assert rows(pairs, "root", "node") == rows(zones, "root", "node") and pairs.count() == zones.count()
+    short = lambda df: {(r.root, r.size, round(r.avg_dist, 9)) for r in df.collect()}
+    assert short(R.zone_sizes(graph, every, 1, 1)) == short(R.zone_sizes(graph, every, 1)) == short(R.bfs_info(zones))
