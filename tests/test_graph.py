@@ -347,6 +347,35 @@ def test_components_without_joins(spark, monkeypatch):
     assert C.scc(random_graph(spark, 60, 300), max_edges=1).count() > 0
 
 
+def test_dag_without_joins(spark, toy):
+    """Edges that leave their component: looked up by the workers they are those of joins, with parallel edges, ends that are null or in no component, and ids in any order."""
+    more = spark.createDataFrame([(3, 4), (None, 1), (1, None), (77, 1), (1, 77)], "src long, dest long")
+    graph = toy.select("src", "dest").unionByName(more)
+    comps = C.scc(toy).orderBy(F.desc("id"))
+    found = C.dag(graph, comps, max_edges=1)
+    want = rows(C.dag(graph, comps), "cu", "cv")
+    assert rows(found, "cu", "cv") == want == rows(C.dag(graph, comps, 1, 1), "cu", "cv") and len(want) == found.count() == 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("HashAggregate") < plan.index("MapInArrow")  # what leaves is shuffled, not all edges
+    assert C.dag(graph, comps.limit(0), max_edges=1).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["component_dag"])
+def test_component_queries_in_blocks(spark, monkeypatch, name):
+    """Beyond a task's limit a query's rows are the same, and no step joins the edges."""
+    from tidegraph.operators import blocks as B
+    from tidegraph.plans.queries import QUERIES
+
+    monkeypatch.setattr(B, "EDGES", 400)
+    of = lambda: sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    want, blocked, used = of(), C.blocked_scc, []
+    monkeypatch.setattr(C, "colored_scc", lambda *_: pytest.fail("components by joins"))
+    monkeypatch.setattr(C, "blocked_scc", lambda *of: used.append(of) or blocked(*of))
+    monkeypatch.setattr(C.scc, "__defaults__", (None, 1, B.MAX_VERTICES))
+    monkeypatch.setattr(C.dag, "__defaults__", (1, B.MAX_VERTICES))
+    assert of() == want and used
+
+
 def test_kway_in_blocks(spark, monkeypatch):
     """Swaps by blocks make the same moves as swaps by joins."""
     from tidegraph.operators import blocks as B

@@ -17,7 +17,7 @@ from .iterate import checkpointed, fixpoint
 
 
 def _is_small(edges: DataFrame, limit: int) -> bool:
-    return edges.limit(limit + 1).count() <= limit
+    return edges.count() <= limit  # a limit would bring that many rows of every task into one
 
 
 def scc(edges: DataFrame, ids: DataFrame | None = None, max_edges: int = K.MAX_EDGES, max_vertices: int = B.MAX_VERTICES) -> DataFrame:
@@ -180,10 +180,26 @@ def sizes(comps: DataFrame) -> DataFrame:
     return comps.groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
 
 
-def dag(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """Distinct (cu, cv) of edges that leave their component."""
-    of = lambda end, name: comps.select(F.col("id").alias(end), F.col("scc").alias(name))
-    return pairs(edges).join(of("src", "cu"), "src").join(of("dest", "cv"), "dest").filter("cu <> cv").select("cu", "cv").distinct()
+def dag(edges: DataFrame, comps: DataFrame, max_edges: int = K.MAX_EDGES, max_vertices: int = B.MAX_VERTICES) -> DataFrame:
+    """Distinct (cu, cv) of edges that leave their component. Beyond max_edges edges, workers look the ends up in vectors of up to max_vertices vertices, and
+    only edges that leave are shuffled; otherwise ends are joined."""
+    edges, comps = edges.select("src", "dest").dropna(), comps.select("id", "scc")
+    if _is_small(edges, max_edges) or comps.count() > max_vertices:
+        of = lambda end, name: comps.select(F.col("id").alias(end), F.col("scc").alias(name))
+        return pairs(edges).join(of("src", "cu"), "src").join(of("dest", "cv"), "dest").filter("cu <> cv").select("cu", "cv").distinct()
+    got = comps.toArrow()
+    ids, scc = got["id"].to_numpy(), got["scc"].to_numpy()
+    held = edges.sparkSession.sparkContext.broadcast((B.Names(np.zeros(len(ids), np.int64), ids), scc[np.argsort(ids, kind="stable")]))
+
+    def leaving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, of = held.value
+        for batch in batches:
+            one = np.zeros(batch.num_rows, np.int64)
+            (s, a), (d, b) = (names.places(one, batch.column(i).to_numpy()) for i in range(2))
+            cu, cv = of[s[a & b]], of[d[a & b]]
+            yield pa.RecordBatch.from_pydict({"cu": cu[cu != cv], "cv": cv[cu != cv]})
+
+    return edges.mapInArrow(leaving, "cu long, cv long").distinct()
 
 
 def in_degrees(links: DataFrame, comps: DataFrame) -> DataFrame:
