@@ -360,7 +360,7 @@ def test_dag_without_joins(spark, toy):
     assert C.dag(graph, comps.limit(0), max_edges=1).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["component_dag", "cac", "component_levels", "dag_indegree", "component_report", "cac_partition", "scc_dense", "scc_types", "scc"])
+@pytest.mark.parametrize("name", ["component_dag", "cac", "component_levels", "dag_indegree", "component_report", "cac_partition", "scc_dense", "scc_types", "scc", "scc_sizes"])
 def test_component_queries_in_blocks(spark, monkeypatch, name):
     """Beyond a task's limit a query's rows are the same, and no step joins the edges."""
     from tidegraph.operators import blocks as B
