@@ -347,6 +347,39 @@ def test_components_without_joins(spark, monkeypatch):
     assert C.scc(random_graph(spark, 60, 300), max_edges=1).count() > 0
 
 
+def test_components_without_a_distinct(spark, monkeypatch):
+    """A table of many edges, few of them copies, isn't made distinct first; one of copies is. Loops and copies change nothing."""
+    from tidegraph.operators import blocks as B
+    from tidegraph.operators.iterate import checkpointed
+
+    monkeypatch.setattr(B, "EDGES", 40)
+    graph = random_graph(spark, 200, 260).select("src", "dest")
+    odd = spark.createDataFrame([(3, 3), (3, 3), (500, 500), (600, 601), (601, 600)], "src long, dest long")
+    few, many = checkpointed(graph.unionByName(odd).unionByName(graph.limit(20))), checkpointed(graph.unionByName(graph).unionByName(odd))
+    want, made, pairs = rows(C.scc(few), "id", "scc"), [], C.pairs
+    assert want == rows(C.colored_scc(few), "id", "scc") >= {(500, 500), (600, 600), (601, 600)}
+    monkeypatch.setattr(C, "pairs", lambda edges: made.append(edges) or pairs(edges))
+    for edges, distinct in ((few, 0), (many, 1), (few.filter("src is not null"), 1)):
+        found = C.scc(edges, max_edges=1)
+        assert rows(found, "id", "scc") == want and found.count() == len(want) and len(made) == distinct
+        made.clear()
+    monkeypatch.undo()
+
+
+def test_parallel_edges_are_dealt_once(spark, monkeypatch):
+    """Copies of an edge that carry no value are one before the shuffle; values are merged."""
+    from tidegraph.operators import blocks as B
+
+    edges = spark.createDataFrame([(0, 1, 2)] * 50 + [(0, 2, 1)], "part long, src long, dest long").coalesce(1)
+    names, dealt, made = B.Names(np.zeros(2, np.int64), np.array([1, 2])), [], B.Blocks._made
+    monkeypatch.setattr(B.Blocks, "_made", lambda self, out, merge: dealt.append(sum(len(r.s) // 4 for r in out.collect())) or made(self, out, merge))
+    B.Blocks(edges, names)
+    summed = B.Blocks(edges, names, lambda batch: np.ones(batch.num_rows), np.add, np.int64)
+    assert dealt == [2, 51]
+    at, value = summed.step(lambda own, s, first, x: (own, np.add.reduceat(x, first) if len(s) else x))
+    assert dict(zip(at.tolist(), value.tolist())) == {0: 1, 1: 50}
+
+
 def test_dag_without_joins(spark, toy):
     """Edges that leave their component: looked up by the workers they are those of joins, with parallel edges, ends that are null or in no component, and ids in any order."""
     more = spark.createDataFrame([(3, 4), (None, 1), (1, None), (77, 1), (1, 77)], "src long, dest long")
