@@ -409,6 +409,18 @@ def test_component_queries_in_blocks(spark, monkeypatch, name):
     assert of() == want and used
 
 
+@pytest.mark.parametrize("name", ["cac"])
+def test_component_queries_without_a_distinct(spark, monkeypatch, name):
+    """Beyond a task's limit a query deals its edges into blocks as they are: no step shuffles all pairs to make them distinct."""
+    from tidegraph.operators import blocks as B
+    from tidegraph.plans.queries import QUERIES
+
+    monkeypatch.setattr(C, "pairs", lambda *_: pytest.fail("a distinct of all pairs"))
+    monkeypatch.setattr(C.scc, "__defaults__", (None, 1, B.MAX_VERTICES))
+    monkeypatch.setattr(C.dag, "__defaults__", (1, B.MAX_VERTICES))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
 def test_kway_in_blocks(spark, monkeypatch):
     """Swaps by blocks make the same moves as swaps by joins."""
     from tidegraph.operators import blocks as B
