@@ -409,7 +409,7 @@ def test_component_queries_in_blocks(spark, monkeypatch, name):
     assert of() == want and used
 
 
-@pytest.mark.parametrize("name", ["cac", "component_levels", "dag_indegree", "component_report", "cac_partition", "scc_dense", "scc_types", "scc"])
+@pytest.mark.parametrize("name", ["cac", "component_levels", "dag_indegree", "component_report", "cac_partition", "scc_dense", "scc_types", "scc", "scc_sizes"])
 def test_component_queries_without_a_distinct(spark, monkeypatch, name):
     """Beyond a task's limit a query deals its edges into blocks as they are: no step shuffles all pairs to make them distinct."""
     from tidegraph.operators import blocks as B
