@@ -454,3 +454,24 @@ def test_reach_in_chunks(spark, monkeypatch):
     assert rows(pairs, "root", "node") == rows(zones, "root", "node") and pairs.count() == zones.count()
     short = lambda df: {(r.root, r.size, round(r.avg_dist, 9)) for r in df.collect()}
     assert short(R.zone_sizes(graph, every, 1, 1)) == short(R.zone_sizes(graph, every, 1)) == short(R.bfs_info(zones))
+
+
+def test_sizes_by_targets(spark, monkeypatch):
+    """All vertices' sizes come of bits of targets, in several ranges and rows of sums, as they come of lists; roots that no edge touches are alone."""
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (30, 40), (200, 300), (200, 1500)):
+        s, d = np.unique(rng.integers(0, n, (2, m)), axis=1)
+        starts, to = K.csr(n, s, d)
+        order, *links = K.by_degree(starts, to)
+        sums = np.sum([K.sums_to(*links, np.arange(a, min(n, a + 70))) for a in range(0, n, 70)], axis=0)
+        assert sums.T.tolist() == [[len(x), x.sum()] for x in (K.distances(starts, to, int(r))[1] for r in order)]
+    graph = random_graph(spark, 150, 300)
+    every = E.vertices(graph)
+    made, by = [], R._sizes_by_targets
+    monkeypatch.setattr(R, "_sizes_by_targets", lambda *args: made.append(1) or by(*args))
+    monkeypatch.setattr(R, "TARGET_WORDS", 1)
+    monkeypatch.setattr(R, "SUMMED", 50)
+    for roots in (every, every.filter("id % 3 > 0").union(spark.createDataFrame([(1000,)], "id long"))):
+        got, want = ({(r.root, r.size, round(r.avg_dist, 9)) for r in df.collect()} for df in (R.zone_sizes(graph, roots), R.bfs_info(R.bfs(graph, roots))))
+        assert got == want
+    assert len(made) == 2
