@@ -475,3 +475,25 @@ def test_sizes_by_targets(spark, monkeypatch):
         got, want = ({(r.root, r.size, round(r.avg_dist, 9)) for r in df.collect()} for df in (R.zone_sizes(graph, roots), R.bfs_info(R.bfs(graph, roots))))
         assert got == want
     assert len(made) == 2
+
+
+def test_ranks_in_pieces(spark, monkeypatch):
+    """Ids and ranks of many edges go to the workers in pieces, none of which is large, and never as whole vectors through the driver; blocks without edges are there too."""
+    from tidegraph.operators import blocks as B
+
+    star = spark.createDataFrame([(i, 0, 1.0) for i in range(1, 200)] + [(0, 1, 1.0)], "src long, dest long, w double")
+    rest = E.weighted(random_graph(spark, 60, 300), Weights()).select("src", "dest", "w")
+    sub = star.withColumn("part", F.lit(7)).unionByName(rest.withColumn("part", F.lit(2))).cache()
+    ends = RankOptions(max_iter=3), RankOptions(max_iter=0)
+    want = [({(r.part, r.id): r.pr for r in P.pagerank(sub, o).collect()}, rows(P.convergence(sub, o), "part", "n_nodes", "n_steps", "converged")) for o in ends]
+    monkeypatch.setattr(B, "EDGES", 40)
+    monkeypatch.setattr(B, "PIECE", 100)
+    for whole in ("names_of", "table"):
+        monkeypatch.setattr(B, whole, lambda *_, **__: pytest.fail("a vector at the driver"))
+    monkeypatch.setattr(B.Blocks, "step", lambda *_: pytest.fail("a vector at the driver"))
+    sizes, relayed = [], B.relayed
+    monkeypatch.setattr(B, "relayed", lambda table: [sizes.append(sum(len(x) for row in p.value for x in row if isinstance(x, bytes))) or p for p in relayed(table)])
+    for o, (ranks, ended) in zip(ends, want, strict=True):
+        assert {(r.part, r.id): r.pr for r in P.pagerank(sub, o, 1).collect()} == pytest.approx(ranks)
+        assert rows(P.convergence(sub, o, 1), "part", "n_nodes", "n_steps", "converged") == ended
+    assert len(sizes) > 20 and sorted(sizes)[len(sizes) // 2] < 400

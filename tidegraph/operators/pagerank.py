@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,37 +39,63 @@ def convergence(sub: DataFrame, options: RankOptions, max_edges: int = K.MAX_EDG
     return ended.groupBy("part").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("steps").alias("n_steps"), F.max("still").alias("converged"))
 
 
-def _blocked(sub: DataFrame, names: B.Names, options: RankOptions) -> DataFrame:
-    """Ranks of all parts at once: a step sends all ranks, each over its vertex's out-weight, and each block sums what its own vertices get."""
-    links, n = B.Blocks(sub, names, lambda rows: rows.column("w").to_numpy(zero_copy_only=False), np.add, np.float64), len(names)
-    out_w = links.sums_of_sources()
-    mean = (1.0 / np.diff(names.ends))[names.of]
-    pr, steps, still = mean, np.zeros(len(names.parts), np.int32), np.zeros(len(names.parts), dtype=bool)
+def _blocked(sub: DataFrame, names: B.PiecedNames, options: RankOptions) -> DataFrame:
+    """Ranks of all parts at once: a step sends all ranks in pieces, and each block sums what its own vertices get. The driver sees a piece and each part's change."""
+    links, n, d = B.Blocks(sub, names, lambda rows: rows.column("w").to_numpy(zero_copy_only=False), np.add, np.float64), len(names), options.d
+    ends, parts, nb = names.ends, names.parts, links.count
+    size, many = np.diff(ends), len(names.parts)
+    out_w = B.Pieces(links.sums_of_sources(), np.zeros(many), ends, nb)
+    pr, steps, still = B.Pieces(None, 1.0 / size, ends, nb), np.zeros(many, np.int32), np.zeros(many, dtype=bool)
+
+    def stepped(pr: B.Pieces, still: np.ndarray) -> DataFrame:
+        shares: list[np.ndarray] = []
+
+        def run(own, s, first, x) -> Iterator[pa.RecordBatch]:
+            if not shares:
+                shares.append(np.divide(pr.value, out_w.value, out=out_w.value, where=out_w.value > 0))  # in place, as a task needs out_w once
+            block = int(own[0]) % nb
+            of, old, got = np.searchsorted(ends, np.arange(block, n, nb), "right") - 1, pr.value[block::nb], np.zeros(len(range(block, n, nb)))
+            got[own // nb] = np.add.reduceat(shares[0][s] * x, first)
+            new = np.where(still[of], old, (1 - d) / size[of] + d * got)
+            moved = np.bincount(of, weights=np.abs(new - old), minlength=many)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "v": pa.array([new.tobytes()], pa.binary()), "moved": pa.array([moved.tobytes()], pa.binary())})
 
-    def run(own, s, first, x, shares):
-        return own, np.add.reduceat(shares[s] * x, first) if len(s) else np.zeros(0)
+        return checkpointed(links.each(run, "block int, v binary, moved binary"))
 
-    for _ in range(options.max_iter):
-        at, value = links.step(run, np.divide(pr, out_w, out=np.zeros(n), where=out_w > 0))
-        got = np.zeros(n)
-        got[at] = value
-        new = np.where(still[names.of], pr, (1 - options.d) * mean + options.d * got)
-        moved = np.bincount(names.of, weights=np.abs(new - pr), minlength=len(still))
-        pr, steps = new, steps + ~still
+    for i in range(options.max_iter):
+        rows = stepped(pr, still)
+        got = rows.select("block", "moved").toArrow()
+        moved = np.sum([np.frombuffer(x.as_buffer()) for x in got["moved"]], axis=0)
+        if i == 0:  # vertices of blocks without edges move in the first step alone
+            for b in set(range(nb)) - set(got["block"].to_pylist()):
+                moved = moved + np.diff((ends - 1 - b) // nb) * d / size
+        last, pr, steps = pr, B.Pieces(rows.select("block", "v"), (1 - d) / size, ends, nb), (steps + ~still).astype(np.int32)
+        last.destroy()
         if options.tol is not None:
             still = still | (moved < options.tol)
             if still.all():
                 break
-    return B.table(sub.sparkSession, "part long, id long, pr double, still boolean, steps int", part=names.parts[names.of], id=names.ids, pr=pr, still=still[names.of], steps=steps[names.of].astype(np.int32)).withColumn("part", F.col("part").cast(sub.schema["part"].dataType))
+    out_w.destroy()
+    some = 100_000
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                of = np.searchsorted(ends, np.arange(low, min(n, low + some)), "right") - 1
+                yield pa.RecordBatch.from_pydict({"part": pa.array(parts[of]), "id": pa.array(names.value.ids[low : low + some]), "pr": pa.array(pr.value[low : low + some]), "still": pa.array(still[of]), "steps": pa.array(steps[of])})
+
+    spark = sub.sparkSession
+    out = spark.range(0, n, some, max(1, min(-(-n // some), spark.sparkContext.defaultParallelism * 2))).mapInArrow(ranked, "part long, id long, pr double, still boolean, steps int")
+    return out.withColumn("part", F.col("part").cast(sub.schema["part"].dataType))
 
 
 def _ranked(sub: DataFrame, options: RankOptions, max_edges: int, max_vertices: int) -> DataFrame:
     sub = checkpointed(sub.select("part", "src", "dest", "w"))
     nodes = sub.select("part", F.col("src").alias("id")).distinct()
     if (sub.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > max_edges:
-        names = B.names_of(nodes, max_vertices)
-        if names is not None:
-            return _blocked(sub, names, options)
+        nodes = checkpointed(nodes)
+        if nodes.count() <= max_vertices:
+            return _blocked(sub, B.PiecedNames(nodes), options)
     count = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     nodes = checkpointed(nodes.join(count, "part"))
     eff = effective(sub)
